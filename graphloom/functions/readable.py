@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, functions as F
 
 #: White space and invisible characters at the ends of a value.
-EDGE = r"[\s\u0085   -‍    ⁠　﻿]+"
+EDGE = r"[\s\u0085\u00a0\u1680\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]+"
 
 # The words that mean true and false.
 TRUE_WORDS = ("true", "t", "yes", "y", "on", "1")

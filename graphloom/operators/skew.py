@@ -93,5 +93,4 @@ def accumulate(df: DataFrame, key: str, sums: Sequence[str] = (), mins: Sequence
 def heavy_keys(totals: DataFrame, key: str, share: float) -> DataFrame:
     """Non-null keys that hold at least `share` of all rows with a non-null key; `totals` is accumulate()'s result."""
     known = totals.where(F.col(key).isNotNull())
-    whole = known.agg(F.sum("n").alias("__whole"))
-    return known.join(F.broadcast(whole), F.col("n") >= F.lit(share) * F.col("__whole")).drop("__whole")
+    return known.where(F.col("n") >= F.lit(share) * known.agg(F.sum("n")).scalar())

@@ -71,8 +71,8 @@ def row_hash(df: DataFrame) -> Column:
 def hot_keys(df: DataFrame, key: str, share: float = 0.01) -> DataFrame:
     """Values of `key` in at least `share` of the non-null rows: at most 1/share rows, whatever the input."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"))
-    total = counts.agg(F.sum("__n").alias("__total"))
-    return counts.join(F.broadcast(total), F.col("__n") >= F.lit(share) * F.col("__total")).select(key)
+    total = counts.agg(F.sum("__n")).scalar()
+    return counts.where(F.col("__n") >= F.lit(share) * total).select(key)
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, how: str, salt_on: Column, share: float = 0.01, salts: int = 16) -> DataFrame:
