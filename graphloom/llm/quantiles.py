@@ -53,9 +53,10 @@ def combine(tables: Sequence[DataFrame], groups: Sequence[str]) -> DataFrame:
     return rows.groupBy(*groups, "bin").agg(F.sum("n").alias("n"))
 
 
-def percentiles(freq: DataFrame, groups: Sequence[str], targets: Sequence[float], error: float = 0.001, partitions: int | None = None) -> DataFrame:
-    """(groups, p, n, value): the value of rank ceil(p n), at least 1, of each group's n values, with a relative
-    error of at most `error`. Ties share a bin and so a value. A group may span any number of range partitions."""
+def cumulative(freq: DataFrame, groups: Sequence[str], error: float = 0.001, partitions: int | None = None) -> DataFrame:
+    """(groups, bin, n, upto, total, value): every bin with the number of values in it, up to and with it, and in its
+    group, and its representative value. Counts of several such tables can be added bin by bin; any percentile can be
+    read off. A group may span any number of range partitions: a window sees what a partition holds of it."""
     partitions = partitions or int(freq.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [*groups, "bin"]
     ranged = freq.repartitionByRange(partitions, *order).withColumn("__part", F.spark_partition_id())
@@ -65,11 +66,17 @@ def percentiles(freq: DataFrame, groups: Sequence[str], targets: Sequence[float]
     per_part = ranged.groupBy(*groups, "__part").agg(F.sum("n").alias("__held"))
     before = Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(*groups)
-    offsets = per_part.withColumn("__offset", F.coalesce(F.sum("__held").over(before), F.lit(0))).withColumn("__total", F.sum("__held").over(every))
-    offsets = offsets.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col("__part").alias("__p"), "__offset", "__total")
+    offsets = per_part.withColumn("__offset", F.coalesce(F.sum("__held").over(before), F.lit(0))).withColumn("total", F.sum("__held").over(every))
+    offsets = offsets.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col("__part").alias("__p"), "__offset", "total")
     same = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(groups)]
     placed = running.join(offsets, reduce(lambda a, b: a & b, same, F.col("__part") == F.col("__p")))
-    placed = placed.withColumn("__hi", F.col("__upto") + F.col("__offset")).withColumn("__lo", F.col("__hi") - F.col("n"))
-    ranks = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * F.col("__total"))).alias("rank")) for p in targets])
-    hit = placed.withColumn("__t", F.explode(F.filter(ranks, lambda t: (t["rank"] > F.col("__lo")) & (t["rank"] <= F.col("__hi")))))
-    return hit.select(*groups, F.col("__t.p").alias("p"), F.col("__total").alias("n"), value_of(F.col("bin"), error).alias("value"))
+    return placed.select(*groups, "bin", "n", (F.col("__upto") + F.col("__offset")).alias("upto"), "total", value_of(F.col("bin"), error).alias("value"))
+
+
+def percentiles(freq: DataFrame, groups: Sequence[str], targets: Sequence[float], error: float = 0.001, partitions: int | None = None) -> DataFrame:
+    """(groups, p, n, value): the value of rank ceil(p n), at least 1, of each group's n values, with a relative
+    error of at most `error`. Ties share a bin and so a value."""
+    placed = cumulative(freq, groups, error, partitions)
+    ranks = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * F.col("total"))).alias("rank")) for p in targets])
+    hit = placed.withColumn("__t", F.explode(F.filter(ranks, lambda t: (t["rank"] > F.col("upto") - F.col("n")) & (t["rank"] <= F.col("upto")))))
+    return hit.select(*groups, F.col("__t.p").alias("p"), F.col("total").alias("n"), "value")

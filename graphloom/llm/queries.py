@@ -15,6 +15,12 @@ def _performance(spark: SparkSession, d: str) -> DataFrame:
     return distinct_rows(table(spark, d, "graph_performance_data"))
 
 
+def p2_distribution(spark: SparkSession, d: str) -> DataFrame:
+    """Cumulative frequencies of execution_time per graph and worker count: the combinable form of all percentiles."""
+    freq = quantiles.frequencies(_performance(spark, d), GROUPS, "execution_time")
+    return quantiles.cumulative(freq, GROUPS).withColumn("value", F.round("value", 6))
+
+
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of execution_time per graph and worker count, within 0.1 %."""
     freq = quantiles.frequencies(_performance(spark, d), GROUPS, "execution_time")
@@ -57,7 +63,7 @@ def p9_normalized(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.normalized(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_daily_frequencies, p2_median_of_days, p7_ids, p7_decoded, p8_found, p9_found, p9_normalized)}
+QUERIES = {f.__name__: f for f in (p2_distribution, p2_percentiles, p2_daily_frequencies, p2_median_of_days, p7_ids, p7_decoded, p8_found, p9_found, p9_normalized)}
 
 _GAMMA = "ln(1.001 / 0.999)"
 _BINS = f"""
@@ -77,6 +83,9 @@ WHERE greatest(1, ceil(CAST(p AS DOUBLE) * n)) > upto - c AND greatest(1, ceil(C
 
 
 SQL = {
+    "p2_distribution": _BINS + f""", f AS (SELECT graph_name, worker_count, bin, count(*) AS c FROM b GROUP BY ALL)
+SELECT graph_name, worker_count, bin, CAST(c AS BIGINT) AS n, CAST(sum(c) OVER (PARTITION BY graph_name, worker_count ORDER BY bin) AS BIGINT) AS upto,
+  CAST(sum(c) OVER (PARTITION BY graph_name, worker_count) AS BIGINT) AS total, {_VALUE} AS value FROM f""",
     "p2_percentiles": _percentile_sql("graph_name, worker_count", ", ".join(map(str, TARGETS))),
     "p2_daily_frequencies": _BINS + "SELECT day, graph_name, worker_count, bin, CAST(count(*) AS BIGINT) AS n FROM b GROUP BY ALL",
     "p2_median_of_days": f"SELECT graph_name, n, value FROM ({_percentile_sql('graph_name', '0.5')})",
