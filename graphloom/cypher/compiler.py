@@ -332,7 +332,8 @@ class Compiler:
                 return F.percentile(value, float(p))
             column = fresh("q")
             self.rows = self.here().withColumn(column, value)
-            return F.expr(f"percentile_disc({float(p)}) within group (order by `{column}`)")
+            kind = self.rows.schema[column].dataType
+            return F.expr(f"percentile_disc({float(p)}) within group (order by `{column}`)").cast(kind)
         if name == "count":
             return F.count_distinct(value) if call.distinct else F.count(value)
         if name == "sum":

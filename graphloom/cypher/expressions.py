@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import ast as A
@@ -42,10 +44,14 @@ class Expressions:
 
     def type_of(self, c: Column) -> T.DataType | None:
         """The column's type; None where it hangs on a lambda's variable."""
+        log = logging.getLogger("DataFrameQueryContextLogger")
+        was, log.disabled = log.disabled, True
         try:
             return self.rows.select(c.alias("x")).schema[0].dataType
-        except Exception:
+        except AnalysisException:
             return None
+        finally:
+            log.disabled = was
 
     # --- values
 
@@ -184,7 +190,7 @@ class Expressions:
         if e.op == "+":
             if isinstance(ta, T.ArrayType) or isinstance(tb, T.ArrayType):
                 return F.concat(a if isinstance(ta, T.ArrayType) else F.array(a), b if isinstance(tb, T.ArrayType) else F.array(b))
-            if isinstance(ta, T.StringType) or isinstance(tb, T.StringType):
+            if any(isinstance(t, T.StringType) or isinstance(x, A.Literal) and isinstance(x.value, str) for t, x in ((ta, e.left), (tb, e.right))):
                 return F.concat(a.cast("string"), b.cast("string"))
             return a + b
         if e.op == "^":
