@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import references, shred, skew, spikes, widen
-from ..runtime import distinct_rows, row_hash, table
+from ..runtime import distinct_rows, materialize, row_hash, table
 
 METRICS = ("memory_usage", "load_average", "elapsed_time")
 #: No machine has 64 TB of memory in use (MB), a load of 100,000, or a run of over a year (s); nothing is below zero.
@@ -66,15 +66,25 @@ def _wide_columns(spark: SparkSession, d: str, kind: str) -> list[tuple[str, str
     return [(r["attr"], r["val_type"]) for r in rows]
 
 
-def _wide(spark: SparkSession, d: str, kind: str) -> tuple[DataFrame, list[tuple[str, str]]]:
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    """Readable cells of both kinds, read once and written out: what the register stage starts from again if an
+    executor is lost."""
+    cells = widen.typed_cells(table(spark, d, "property_link"), table(spark, d, "property_type"), CELL_ENTITY, "attr", "val", "loaded_at", "link_id", "entity_kind")
+    return materialize(cells, "cells")
+
+
+def _wide(spark: SparkSession, d: str, kind: str, cells: DataFrame | None = None) -> tuple[DataFrame, list[tuple[str, str]]]:
     columns = _wide_columns(spark, d, kind)
-    rows = table(spark, d, "property_link").where(F.col("entity_kind") == kind)
-    cells = widen.typed_cells(rows, table(spark, d, "property_type"), CELL_ENTITY, "attr", "val", "loaded_at", "link_id", "entity_kind")
-    return widen.widen(cells, CELL_ENTITY, columns), columns
+    cells = cells if cells is not None else _cells(spark, d)
+    return widen.widen(cells.where(F.col("entity_kind") == kind), CELL_ENTITY, columns), columns
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    parts = [widen.cells_of(*(lambda w, c: (w, CELL_ENTITY, c))(*_wide(spark, d, kind))) for kind in KINDS]
+    cells = _cells(spark, d)
+    parts = []
+    for kind in KINDS:
+        wide, columns = _wide(spark, d, kind, cells)
+        parts.append(widen.cells_of(wide, CELL_ENTITY, columns))
     return reduce(DataFrame.unionByName, parts)
 
 
