@@ -162,14 +162,14 @@ def entity_table(nodes: DataFrame, key: str, doc: str, arr_path: str | None, fie
     document's size. parent_pos is the array position of the enclosing array element (null at the first level).
     A missing or null field is null. Fields named like link columns get the prefix `f_`.
     """
+    fields = list(fields)
     taken = {key.lower(), "doc", "node", "parent", "arr_path", "arr_pos", "parent_pos"}
     mine = (F.col("kind") == "element") & (F.col("arr_path") == arr_path) if arr_path is not None else F.col("parent").isNull()
     objects = nodes.where((F.col("doc") == doc) & mine)
-    children = nodes.where((F.col("doc") == doc) & (F.col("kind") == "scalar") & F.col("label").isin(list(fields)))
-    pivoted = children.groupBy(key, "doc", F.col("parent").alias("node")).pivot("label", list(fields)).agg(F.first("value"))
-    for f in fields:
-        if f.lower() in taken:
-            pivoted = pivoted.withColumnRenamed(f, f"f_{f}")
+    children = nodes.where((F.col("doc") == doc) & (F.col("kind") == "scalar") & F.col("label").isin(fields))
+    name = lambda f: f"f_{f}" if f.lower() in taken else f
+    cells = [F.max(F.when(F.col("label") == f, F.col("value"))).alias(name(f)) for f in fields]
+    pivoted = children.groupBy(key, "doc", F.col("parent").alias("node")).agg(*cells)
     up = F.when(F.col("arr_pos").contains("."), F.regexp_replace("arr_pos", r"\.[^.]*$", ""))
     objects = objects.select(key, "doc", "node", "parent", "arr_path", "arr_pos", up.alias("parent_pos"))
     return objects.join(pivoted, [key, "doc", "node"], "left")
