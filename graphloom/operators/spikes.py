@@ -141,7 +141,8 @@ def anomaly_score(forest: dict, points: np.ndarray) -> np.ndarray:
 
 def _readings(df: DataFrame, source: str, run: str, metrics: Sequence[str], block: int) -> DataFrame:
     """One row per record in (source, block) groups ordered by id: each metric with the reading before it, the number
-    and length of its run of equal values within the block, and the step within the run of records."""
+    and length of its run of equal values within the block, whether that is the block's first or last run, and the step
+    within the run of records."""
     x = distinct_rows(df).where(F.col(source).isNotNull() & F.col("id").isNotNull())
     x = x.select("id", F.col(source).alias("source"), F.col(run).alias("__run"), *[F.col(m).cast("double").alias(f"x{i}") for i, m in enumerate(metrics)])
     for i in range(len(metrics)):  # NaN is no reading
@@ -158,6 +159,8 @@ def _readings(df: DataFrame, source: str, run: str, metrics: Sequence[str], bloc
         x = x.withColumn(f"r{i}", F.sum(turn.cast("int")).over(w))
     for i in range(len(metrics)):
         x = x.withColumn(f"n{i}", F.count(f"x{i}").over(Window.partitionBy("source", "block", f"r{i}")))
+        last = F.max(f"r{i}").over(Window.partitionBy("source", "block"))
+        x = x.withColumn(f"e{i}", (F.col(f"r{i}") == 1) | (F.col(f"r{i}") == last))
     return x.drop("__run", "__fresh")
 
 
@@ -166,9 +169,7 @@ def _crossing(x: DataFrame, metrics: int) -> DataFrame:
     the last run of each block, two rows a block, are joined over neighbouring blocks by a window."""
     ends = None
     for i in range(metrics):
-        part = x.where(F.col(f"x{i}").isNotNull())
-        part = part.withColumn("__last", F.max(f"r{i}").over(Window.partitionBy("source", "block")))
-        part = part.where((F.col(f"r{i}") == 1) | (F.col(f"r{i}") == F.col("__last")))
+        part = x.where(F.col(f"x{i}").isNotNull() & F.col(f"e{i}"))
         part = part.groupBy("source", "block", F.col(f"r{i}").alias("run")).agg(F.max(f"x{i}").alias("v"), F.max(f"n{i}").alias("n")).withColumn("metric", F.lit(i))
         ends = part if ends is None else ends.unionByName(part)
     w = Window.partitionBy("source", "metric").orderBy("block", "run")
@@ -212,30 +213,36 @@ def score_readings(df: DataFrame, source: str, run: str, metrics: Sequence[str],
     hashed = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = x.join(stats, "source").where(hashed < F.lit(float(rules.sample)) / F.col("rows"))
     models = sample.groupBy("source").applyInPandas(fit, f"source {source_type}, model binary")
-    blocks = x.select("source", "block").distinct()
-    models = blocks.join(models, "source").select("source", "block", "model").toDF("source", "block", "model")
+    # a block's model comes with the blocks' crossing runs, so the scored readings are not shuffled again for them
+    crossing = _crossing(x, k).groupBy("source", "block").agg(F.collect_list(F.struct("metric", "run", "total")).alias("crossing"))
+    blocks = x.select("source", "block").distinct().join(crossing, ["source", "block"], "left")
+    models = blocks.join(models, "source").select("source", "block", "model", "crossing").toDF("source", "block", "model", "crossing")
 
     def judge(readings: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         outs = []
+        crossing = model["crossing"].iloc[0] if len(model) else None
         ms = pickle.loads(zlib.decompress(model["model"].iloc[0])) if len(model) else [None] * k
         for i in range(k):
             part = readings[readings[f"x{i}"].notna()]
             value, length = part[f"x{i}"].to_numpy(float), part[f"n{i}"].to_numpy()
+            whole = length.copy()
+            for c in crossing if crossing is not None else ():
+                if c["metric"] == i:
+                    whole[part[f"r{i}"].to_numpy() == c["run"]] = c["total"]
             score, far = np.zeros(len(part)), np.zeros(len(part))
             if ms[i] is not None and len(part):
                 points = features(value, part[f"b{i}"].to_numpy(float), part["step"].to_numpy(), length.astype(float), ms[i])
                 score = anomaly_score(ms[i]["forest"], points)
                 far = distance(value, ms[i]["levels"], ms[i]["spread"])
-            outs.append(pd.DataFrame({"id": part["id"], "source": part["source"], "block": part["block"], "metric": i, "run": part[f"r{i}"], "value": value, "score": score, "distance": far, "run_length": length}))
+            outs.append(pd.DataFrame({"id": part["id"], "source": part["source"], "metric": i, "value": value, "score": score, "distance": far, "run_length": whole}))
         return pd.concat(outs)
 
-    out = f"id long, source {source_type}, block long, metric int, run long, value double, score double, distance double, run_length long"
-    scored = x.groupBy("source", "block").cogroup(models.groupBy("source", "block")).applyInPandas(judge, out)
-    scored = scored.join(_crossing(x, k), ["source", "block", "metric", "run"], "left")
-    length = F.coalesce("total", "run_length")
+    out = f"id long, source {source_type}, metric int, value double, score double, distance double, run_length long"
+    scored = x.drop(*[f"e{i}" for i in range(k)]).groupBy("source", "block").cogroup(models.groupBy("source", "block")).applyInPandas(judge, out)
+    length = F.col("run_length")
     name = F.element_at(F.array(*[F.lit(m) for m in metrics]), F.col("metric") + 1)
     impossible = F.lit(False)
     for m, (lo, hi) in rules.limits.items():
         impossible = impossible | ((name == m) & ((F.col("value") < lo) | (F.col("value") > hi)))
     isolated = (F.col("score") >= rules.score) & (F.abs("distance") >= rules.far)
-    return scored.select("id", "source", name.alias("metric"), "value", "score", "distance", length.alias("run_length"), impossible.alias("impossible"), (length >= rules.stuck).alias("stuck"), isolated.alias("isolated"))
+    return scored.select("id", "source", name.alias("metric"), "value", "score", "distance", length, impossible.alias("impossible"), (length >= rules.stuck).alias("stuck"), isolated.alias("isolated"))
