@@ -126,7 +126,7 @@ class Patterns:
         if node.var and far is None:
             far = env.get(node.var)
         if r.variable:
-            rows, rel, end = self.walk(rows, near, r, flip, env)
+            rows, rel, end = self.walk(rows, near, r, flip, self.ends(node, far))
         else:
             e, rel = self.oriented(r, flip)
             on = [col(near.key) == col(rel.fields["__a"])] if near is not None else []
@@ -172,9 +172,18 @@ class Patterns:
         used.append((r, rel))
         return rows
 
-    def walk(self, rows: DataFrame, near: Binding, r: A.RelPattern, flip: bool, env) -> tuple[DataFrame, Binding, str]:
-        """Paths of low to high edges, no edge twice: one join per length. Frontiers beyond two edges are written to
-        the shared folder, so each edge join runs once; without an upper bound the walk ends when no path grows."""
+    def ends(self, node: A.NodePattern, far: Binding | None) -> DataFrame | None:
+        """(__end): vertices where a walk may end, if the end's pattern says so by itself."""
+        inner = node.props is not None and not A.variables(node.props)
+        if far is not None or not (node.labels or inner):
+            return None
+        v, b = bind(self.graph.vertices, "node", "v")
+        return self.constrained(v, b, node.labels, node.props if inner else None, {}).select(col(b.key).alias("__end"))
+
+    def walk(self, rows: DataFrame, near: Binding, r: A.RelPattern, flip: bool, ends: DataFrame | None) -> tuple[DataFrame, Binding, str]:
+        """Paths of low to high edges, no edge twice: one join per length. Frontiers of three edges and more that are
+        walked on from are written to the shared folder, so each edge join runs once; without an upper bound the walk
+        ends when no path grows. The longest paths are only grown along edges that lead to an end that is wanted."""
         stem = fresh("w")
         value, end = f"{stem}_value", f"{stem}_end"
         low = r.low if r.low is not None else 1
@@ -186,11 +195,13 @@ class Patterns:
             e, b = self.oriented(r, flip)
             f = b.fields
             hop = F.struct(*[col(f[c]).cast(t).alias(c) for c, t in (("eid", "bigint"), ("type", "string"), ("src", "bigint"), ("dst", "bigint"))], col(f["__b"]).cast("bigint").alias("to"))
+            if ends is not None and k == r.high:
+                e = e.join(ends, col(f["__b"]) == F.col("__end"), "left_semi")
             e = e.select(col(f["__a"]).alias("__near"), hop.alias("__hop"))
             grown = frontier.join(e, col(end) == F.col("__near")).where(~F.exists(col(value), lambda x: x["eid"] == F.col("__hop.eid")))
             grown = grown.withColumns({value: F.concat(col(value), F.array("__hop")), end: F.col("__hop.to")})
             frontier = grown.drop("__near", "__hop")
-            if k > 2:
+            if k > 2 and k != r.high:
                 frontier = materialize(frontier, "walk")
                 if r.high is None and frontier.isEmpty():
                     break

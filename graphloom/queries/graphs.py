@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..algorithms import degrees, learning, pagerank, partitioning, triangles
 from ..cypher.compiler import cypher, run, to_json
 from ..graph import Graph
-from ..runtime import table
+from ..runtime import materialize, table
 from ..sources import edges as sources
 from ..streaming import ingest
 
@@ -214,7 +214,7 @@ def fennel_partition(spark: SparkSession, d: str) -> DataFrame:
 
 def incremental_triangles(spark: SparkSession, d: str) -> DataFrame:
     """Triangles after each of four batches of the follow graph: the incremental formula on growing state."""
-    pairs = follows(spark, d).undirected_pairs().withColumn("batch", F.pmod(F.col("a") + F.col("b"), F.lit(4)).cast("int"))
+    pairs = materialize(follows(spark, d).undirected_pairs().withColumn("batch", F.pmod(F.col("a") + F.col("b"), F.lit(4)).cast("int")), "pairs")
     out, total = [], 0
     for i in range(4):
         new = pairs.where(F.col("batch") == i).select("a", "b")
