@@ -190,13 +190,14 @@ def score_readings(df: DataFrame, source: str, run: str, metrics: Sequence[str],
     k = len(metrics)
     x = materialize(_readings(df, source, run, metrics, rules.block), "readings")
     grids = [F.percentile_approx(f"x{i}", list(GRID), 2000).alias(f"q{i}") for i in range(k)]
-    stats = x.groupBy("source").agg(F.count("*").alias("rows"), *grids)
+    # written out, so that its size is known where it meets the readings: they are not shuffled by source
+    stats = materialize(x.groupBy("source").agg(F.count("*").alias("rows"), *grids), "stats")
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         models = []
         for i in range(k):
             part = pdf[pdf[f"x{i}"].notna()].sort_values("id")
-            grid = pdf[f"q{i}"].iloc[0]
+            grid = own[f"q{i}"].iloc[0]
             if grid is None or len(part) < 8:
                 models.append(None)
                 continue
@@ -207,12 +208,13 @@ def score_readings(df: DataFrame, source: str, run: str, metrics: Sequence[str],
             points = features(part[f"x{i}"].to_numpy(float), part[f"b{i}"].to_numpy(float), step, part[f"n{i}"].to_numpy(float), model)
             model["forest"] = grow(points, rules.trees, rules.psi, seed=i + 1)
             models.append(model)
-        return pd.DataFrame({"source": [pdf["source"].iloc[0]], "model": [zlib.compress(pickle.dumps(models), 1)]})
+        return pd.DataFrame({"source": [own["source"].iloc[0]], "model": [zlib.compress(pickle.dumps(models), 1)]})
 
     source_type = x.schema["source"].dataType.simpleString()
     hashed = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = x.join(stats, "source").where(hashed < F.lit(float(rules.sample)) / F.col("rows"))
-    models = sample.groupBy("source").applyInPandas(fit, f"source {source_type}, model binary")
+    sample = x.join(stats.select("source", "rows"), "source").where(hashed < F.lit(float(rules.sample)) / F.col("rows"))
+    sample = sample.select("source", "id", "step", *[f"{c}{i}" for i in range(k) for c in "xbn"])
+    models = sample.groupBy("source").cogroup(stats.toDF(*stats.columns).groupBy("source")).applyInPandas(fit, f"source {source_type}, model binary")
     # a block's model comes with the blocks' crossing runs, so the scored readings are not shuffled again for them
     crossing = _crossing(x, k).groupBy("source", "block").agg(F.collect_list(F.struct("metric", "run", "total")).alias("crossing"))
     blocks = x.select("source", "block").distinct().join(crossing, ["source", "block"], "left")
