@@ -81,28 +81,58 @@ def fold(text: str) -> str:
 
 
 def _script(c: str) -> str:
-    o = ord(c)
-    if o < 0x250 or 0x1E00 <= o < 0x1F00:
-        return "Latin" if c.isalpha() else ""
-    if 0x370 <= o < 0x400:
-        return "Greek" if c.isalpha() else ""
-    if 0x400 <= o < 0x530:
-        return "Cyrillic"
-    return ""
+    return unicodedata.name(c, "?").split()[0] if c.isalpha() else ""
+
+
+def _never_first() -> frozenset[str]:
+    """Characters that a clean token does not hold: signs with a plainer look-alike, and letters for whose look another
+    letter of their alphabet stands."""
+    taken = {("LATIN", u) for u in LETTERS.values()}
+    out = {o for o, _ in SIGNS}
+    for o, u in LETTERS.items():
+        key = (_script(chr(o)), u)
+        if key in taken:
+            out.add(chr(o))
+        taken.add(key)
+    return frozenset(out)
+
+
+NEVER_FIRST = _never_first()
 
 
 def clean(token: str) -> bool:
-    """One alphabet at most, nothing that settle() changes, no sign with a plainer look-alike."""
+    """One alphabet at most, nothing that settle() changes, no character with a plainer one of the same look."""
     if token.isascii():
         return True
-    if settle(token) != token or any(o in token for o, _ in SIGNS):
+    if settle(token) != token:
         return False
-    return len({_script(c) for c in token} - {""}) <= 1
+    parts = unicodedata.normalize("NFD", token)
+    return NEVER_FIRST.isdisjoint(parts) and len({_script(c) for c in parts} - {""}) <= 1
 
 
-def ambiguous(token: str, units: str) -> bool:
-    """A clean token may have a clean look-alike in another alphabet: all its letters are shared ones."""
-    return all(not u.isalpha() or u in SHARED for u in units)
+def ambiguous(token: str) -> bool:
+    """Whether a clean token may have a clean look-alike in another alphabet: all its letters are shared ones."""
+    return all(not u.isalpha() or u in SHARED for u in unicodedata.normalize("NFD", expand(token)))
+
+
+def spell(counts: dict[str, int]) -> dict[str, str]:
+    """Canonical spelling of each token that is not spelled so itself; counts must hold all look-alikes of a token."""
+    trie, ask = Trie(), []
+    for w, n in counts.items():
+        if w == "" or w.isspace():
+            continue
+        if clean(w):
+            trie.add(w, n)
+            if not ambiguous(w):
+                continue
+        ask.append(w)
+    out = {}
+    for w in ask:
+        hit = trie.canonical(w)
+        to = hit[1] if hit else expand(w)
+        if to != w:
+            out[w] = to
+    return out
 
 
 class Trie:
@@ -187,23 +217,8 @@ def spellings(words: DataFrame, shards: int | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shard, pa.int32())], ["word", "n", "shard"])
 
     def settle_shard(t: pa.Table) -> pa.Table:
-        words_, counts = t.column("word").to_pylist(), t.column("n").to_pylist()
-        trie, ask = Trie(), []
-        for w, n in zip(words_, counts):
-            if w == "" or w.isspace():
-                continue
-            if clean(w):
-                trie.add(w, n)
-                if not ambiguous(w, expand(w)):
-                    continue
-            ask.append(w)
-        found = []
-        for w in ask:
-            hit = trie.canonical(w)
-            to = hit[1] if hit else expand(w)
-            if to != w:
-                found.append((w, to))
-        return pa.table({"word": pa.array([w for w, _ in found], pa.string()), "result": pa.array([r for _, r in found], pa.string())})
+        found = spell(dict(zip(t.column("word").to_pylist(), t.column("n").to_pylist())))
+        return pa.table({"word": pa.array(list(found), pa.string()), "result": pa.array(list(found.values()), pa.string())})
 
     sharded = words.select("word", "n").mapInArrow(key, "word string, n bigint, shard int")
     return sharded.groupBy("shard").applyInArrow(settle_shard, "word string, result string")
