@@ -194,12 +194,16 @@ class Trie:
 
 def tokens(text: Column) -> Column:
     """Line ends, runs of space, single characters of scripts without spaces with the marks on them, and the runs
-    between them. Their concatenation is the text."""
+    between them. Their concatenation is the text. The pattern's first branch takes the letters of most alphabets by
+    two ranges without backtracking; the long classes see only what is left. No group repeats, so no text is too long."""
     space = "".join(f"\\x{{{ord(c):x}}}" for c in SPACES)
     invisible = "".join(f"\\x{{{ord(c):x}}}" for c in IGNORABLE)
-    wide = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\x{ff66}-\x{ff9d}"
-    mark = rf"\p{{M}}\x{{ff9e}}\x{{ff9f}}{invisible}"
-    return F.regexp_extract_all(text, F.lit(rf"\n|[{space}]+|[{wide}][{mark}]*|[^{space}\n{wide}]+"), F.lit(0))
+    # Kana and Han, half-width kana included.
+    wide = r"\u3005-\u3007\u3041-\u30ff\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff\uff65-\uff9d\x{20000}-\x{3ffff}"
+    mark = rf"\p{{M}}\uff9e\uff9f{invisible}"
+    plain = r"[!-~\u00a1-\u0fff]++"
+    other = rf"[^{space}\n{wide}]"
+    return F.regexp_extract_all(text, F.lit(rf"{plain}{other}*+|{other}++|[{space}]++|\n|[{wide}][{mark}]*+"), F.lit(0))
 
 
 def spellings(words: DataFrame, shards: int | None = None) -> DataFrame:
