@@ -184,7 +184,17 @@ x AS (
   FROM sp c LEFT JOIN g p ON c.graph_id = p.idgraph WHERE c.graph_id IS NOT NULL)
 """
 
+_P5 = """
+WITH e AS (SELECT DISTINCT * FROM edge),
+d AS (SELECT edge_id, 'source' AS side, source AS t FROM e UNION ALL SELECT edge_id, 'destination', destination FROM e),
+o AS (SELECT edge_id, side, CASE WHEN json_type(t) = 'VARCHAR' THEN json_extract_string(t, '$') ELSE t END AS t FROM d WHERE json_valid(t)),
+i AS (SELECT edge_id, side, trim(json_extract_string(t, '$.id')) AS vertex_id FROM o WHERE json_valid(t)),
+c AS (SELECT side, vertex_id, count(*) AS n, min(edge_id) AS first_edge, max(edge_id) AS last_edge FROM i WHERE vertex_id <> '' GROUP BY ALL)
+"""
+
 SQL = {
+    "p5_found": _P5 + "SELECT side, vertex_id FROM (SELECT *, sum(n) OVER (PARTITION BY side) AS whole FROM c) WHERE n >= 0.02 * whole",
+    "p5_vertex_counts": _P5 + "SELECT side, vertex_id, n, first_edge, last_edge FROM c",
     "p6_found": _P6 + "SELECT DISTINCT child_table, row_key, period_ym, reason FROM x WHERE reason IS NOT NULL",
     "p6_report": _P6 + ", y AS (SELECT DISTINCT child_table, row_key, period_ym, reason FROM x WHERE reason IS NOT NULL) SELECT child_table, period_ym, reason, CAST(count(*) AS BIGINT) AS n FROM y GROUP BY ALL",
 }
