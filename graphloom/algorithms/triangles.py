@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..graph import Graph
+from ..runtime import materialize
 
 
 def oriented(pairs: DataFrame) -> DataFrame:
@@ -18,12 +19,14 @@ def oriented(pairs: DataFrame) -> DataFrame:
 
 
 def triangles(graph: Graph) -> DataFrame:
-    """(a, b, c), a < b < c, of every triangle."""
-    e = oriented(graph.undirected_pairs())
+    """(a, b, c), a < b < c, of every triangle. The distinct pairs and their orientation are written out once, since
+    both sides of the wedges and the closing edges read them."""
+    pairs = materialize(graph.undirected_pairs(), "pairs")
+    e = materialize(oriented(pairs), "oriented")
     wedge = e.select("lo", F.col("hi").alias("m")).join(e.select("lo", F.col("hi").alias("n")), "lo").where(F.col("m") < F.col("n"))
-    close = graph.undirected_pairs().select(F.col("a").alias("m"), F.col("b").alias("n"))
+    close = pairs.select(F.col("a").alias("m"), F.col("b").alias("n"))
     s = F.array_sort(F.array("lo", "m", "n"))
-    return wedge.join(close, ["m", "n"]).select(s[0].alias("a"), s[1].alias("b"), s[2].alias("c"))
+    return wedge.join(close, ["m", "n"], "left_semi").select(s[0].alias("a"), s[1].alias("b"), s[2].alias("c"))
 
 
 def triangle_count(graph: Graph) -> DataFrame:
