@@ -1,9 +1,11 @@
 """Adjacency-table shredding of deeply nested JSON documents.
 
 A document becomes rows of one *node table*: (row key, document, node, parent, label, ordinal, kind, scalar) plus
-the array path and the 0-based array positions of the node. kind: object, element (an object standing in a declared
-array), array, scalar or null. Entity tables come from it by joining object nodes
-with their scalar children and pivoting the labels into columns; parent ids stay as the links between the tables.
+the array path and the 0-based array positions of the node, and the node's place in its entity: owner (the top object
+or the element of a declared array that encloses it) and field (the dotted labels from there; null within other arrays).
+kind: object, element (an object standing in a declared array), array, scalar or null. Entity tables come from it by
+joining object nodes with their scalars and pivoting the fields into columns; owners stay as the links between the
+tables.
 
 Reading rules, for whole documents and every part of them:
 - text that holds a complete JSON object or array counts as that object or array (at any depth of wrapping);
@@ -21,7 +23,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-NODE_TYPE = "doc string, node int, parent int, label string, ordinal int, kind string, arr_path string, arr_pos string, value string"
+NODE_TYPE = "doc string, node int, parent int, label string, ordinal int, kind string, arr_path string, arr_pos string, value string, owner int, field string"
 
 #: `[]` fields of the wire message, by document: dotted path from the top of that document.
 EDGE_ARRAYS = {
@@ -78,41 +80,42 @@ def shred_document(doc: str, text: str | None, arrays: frozenset[str], objects_o
         return
     counter = 0
     if not objects_only:
-        out.append((doc, 0, None, None, 0, "object", None, None, None))
-    # (value, node, path, array path, positions); an explicit stack, so depth is bounded by memory alone
-    stack = [(top, 0, "", None, "")]
+        out.append((doc, 0, None, None, 0, "object", None, None, None, None, None))
+    # (value, node, path, array path, positions, owner, field); an explicit stack, so depth is bounded by memory alone
+    stack = [(top, 0, "", None, "", 0, "")]
     while stack:
-        obj, node, path, apath, pos = stack.pop()
+        obj, node, path, apath, pos, owner, within = stack.pop()
         for ordinal, (label, raw) in enumerate(obj.items()):
             value = _opened(raw)
             here = f"{path}.{label}" if path else label
+            field = None if within is None or "." in label else f"{within}.{label}" if within else label
             declared = here in arrays
             if isinstance(value, dict) and declared:
                 value = [value]
             if isinstance(value, dict):
                 counter += 1
                 if not objects_only:
-                    out.append((doc, counter, node, label, ordinal, "object", apath, pos or None, None))
-                stack.append((value, counter, here, apath, pos))
+                    out.append((doc, counter, node, label, ordinal, "object", apath, pos or None, None, owner, field))
+                stack.append((value, counter, here, apath, pos, owner, field))
             elif isinstance(value, list):
                 counter += 1
                 holder = counter
                 if not objects_only:
-                    out.append((doc, holder, node, label, ordinal, "array", apath, pos or None, None))
+                    out.append((doc, holder, node, label, ordinal, "array", apath, pos or None, None, owner, field))
                 for i, raw_item in enumerate(value):
                     item = _opened(raw_item)
                     at = f"{pos}.{i}" if pos else str(i)
                     counter += 1
                     if isinstance(item, dict):
                         if declared or not objects_only:
-                            out.append((doc, counter, holder, label, i, "element" if declared else "object", here if declared else apath, at if declared else pos or None, None))
-                        stack.append((item, counter, here, here if declared else apath, at if declared else pos))
+                            out.append((doc, counter, holder, label, i, "element" if declared else "object", here if declared else apath, at if declared else pos or None, None, owner, None))
+                        stack.append((item, counter, here, here if declared else apath, at if declared else pos, counter if declared else owner, "" if declared else None))
                     elif not objects_only:
                         kind = "array" if isinstance(item, list) else "null" if item is None else "scalar"
-                        out.append((doc, counter, holder, label, i, kind, apath, pos or None, scalar_text(item)))
+                        out.append((doc, counter, holder, label, i, kind, apath, pos or None, scalar_text(item), owner, None))
             elif not objects_only:
                 counter += 1
-                out.append((doc, counter, node, label, ordinal, "null" if value is None else "scalar", apath, pos or None, scalar_text(value)))
+                out.append((doc, counter, node, label, ordinal, "null" if value is None else "scalar", apath, pos or None, scalar_text(value), owner, field))
 
 
 def shred(df: DataFrame, key: str, documents: dict[str, Iterable[str]], objects_only: bool = False) -> DataFrame:
@@ -125,8 +128,8 @@ def shred(df: DataFrame, key: str, documents: dict[str, Iterable[str]], objects_
     """
     key_type = df.schema[key].dataType.simpleString()
     plans = {c: frozenset(a) for c, a in documents.items()}
-    names = ["doc", "node", "parent", "label", "ordinal", "kind", "arr_path", "arr_pos", "value"]
-    types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()]
+    names = ["doc", "node", "parent", "label", "ordinal", "kind", "arr_path", "arr_pos", "value", "owner", "field"]
+    types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()]
     chunk = 100_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,23 +158,29 @@ def shred(df: DataFrame, key: str, documents: dict[str, Iterable[str]], objects_
 
 
 def entity_table(nodes: DataFrame, key: str, doc: str, arr_path: str | None, fields: Iterable[str]) -> DataFrame:
-    """One row per object at arr_path (None: the top object of the document), with a column for each scalar
-    child label in `fields` and the parent link: object nodes joined with their scalar children, pivoted.
-
-    Children are joined on (row key, document, node); each key's group is one document, so it is bounded by a
-    document's size. parent_pos is the array position of the enclosing array element (null at the first level).
-    A missing or null field is null. Fields named like link columns get the prefix `f_`.
+    """One row per object at arr_path (None: the top object of the document), with a column for each scalar in
+    `fields` - labels, or dotted labels through plain objects (`org.name` gives the column org_name) - and the parent
+    link: object nodes joined with their scalars, pivoted.
+
+    Scalars are joined on (row key, document, owner); each key's group is one document, so it is bounded by a
+    document's size. owner is the node of the enclosing array element or top object (null for the top object itself),
+    parent_pos the array position of the enclosing element (null at the first level). A missing or null field is
+    null. Fields named like link columns get the prefix `f_`.
     """
     fields = list(fields)
-    taken = {key.lower(), "doc", "node", "parent", "arr_path", "arr_pos", "parent_pos"}
+    taken = {key.lower(), "doc", "node", "parent", "owner", "arr_path", "arr_pos", "parent_pos"}
     mine = (F.col("kind") == "element") & (F.col("arr_path") == arr_path) if arr_path is not None else F.col("parent").isNull()
     objects = nodes.where((F.col("doc") == doc) & mine)
-    children = nodes.where((F.col("doc") == doc) & (F.col("kind") == "scalar") & F.col("label").isin(fields))
-    name = lambda f: f"f_{f}" if f.lower() in taken else f
-    cells = [F.max(F.when(F.col("label") == f, F.col("value"))).alias(name(f)) for f in fields]
-    pivoted = children.groupBy(key, "doc", F.col("parent").alias("node")).agg(*cells)
+    scalars = nodes.where((F.col("doc") == doc) & (F.col("kind") == "scalar") & F.col("field").isin(fields))
+
+    def name(f: str) -> str:
+        f = f.replace(".", "_")
+        return f"f_{f}" if f.lower() in taken else f
+
+    cells = [F.max(F.when(F.col("field") == f, F.col("value"))).alias(name(f)) for f in fields]
+    pivoted = scalars.groupBy(key, "doc", F.col("owner").alias("node")).agg(*cells)
     up = F.when(F.col("arr_pos").contains("."), F.regexp_replace("arr_pos", r"\.[^.]*$", ""))
-    objects = objects.select(key, "doc", "node", "parent", "arr_path", "arr_pos", up.alias("parent_pos"))
+    objects = objects.select(key, "doc", "node", "parent", "owner", "arr_path", "arr_pos", up.alias("parent_pos"))
     return objects.join(pivoted, [key, "doc", "node"], "left")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -36,22 +37,53 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return shred.array_objects(edge_nodes(spark, d, True), "edge_id")
 
 
-def _unique_edge_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return edge_nodes(spark, d, False).distinct()
+#: Flat tables of the endpoints and array elements: document, array path (None: the endpoint itself), scalar fields.
+_CONTACT, _AFFILIATION, _SITE, _ROLE = ("kind", "value", "since"), ("org.id", "org.name"), ("city", "floor"), ("title", "from", "to")
+ENTITIES: dict[str, tuple[str, str | None, tuple[str, ...]]] = {"p3_roles": ("source", "properties.affiliations.roles", _ROLE)}
+for _side in ("source", "destination"):
+    ENTITIES |= {
+        f"p3_{_side}": (_side, None, ("id", "pid", "properties.id", "properties.label", "properties.name")),
+        f"p3_{_side}_contacts": (_side, "properties.contacts", _CONTACT),
+        f"p3_{_side}_affiliations": (_side, "properties.affiliations", _AFFILIATION),
+        f"p3_{_side}_sites": (_side, "properties.affiliations.org.sites", _SITE),
+        f"p3_{_side}_roles": (_side, "properties.affiliations.roles", _ROLE),
+    }
+ENTITIES |= {
+    "p3_evidence": ("properties", "evidence", ("doc", "weight")),
+    "p3_spans": ("properties", "evidence.spans", ("from", "to")),
+    "p3_changes": ("properties", "history.changes", ("at", "by.id")),
+    "p3_tags": ("properties", "history.changes.by.tags", ("k", "v")),
+    "p3_measures": ("properties", "history.changes.measures", ("m", "v")),
+}
+
+
+def _entity_nodes(spark: SparkSession, d: str, wanted: dict[str, tuple[str | None, tuple[str, ...]]]) -> DataFrame:
+    """Objects at one array path of each document (None: its top) and their scalars, each once, written out: both
+    sides of the entity tables' join read them."""
+    nodes = shred.shred(table(spark, d, "edge"), "edge_id", {c: shred.EDGE_ARRAYS[c] for c in wanted})
+    kept = F.lit(False)
+    for doc, (path, fields) in wanted.items():
+        placed = (F.col("doc") == doc) & F.col("arr_path").eqNullSafe(F.lit(path))
+        kept |= placed & ((F.col("kind") == "element") | F.col("parent").isNull() | ((F.col("kind") == "scalar") & F.col("field").isin(*fields)))
+    return materialize(nodes.where(kept).drop("label", "ordinal").distinct(), "nodes")
 
 
-def p3_roles(spark: SparkSession, d: str) -> DataFrame:
-    """Entity table of properties.affiliations.roles of the source documents, with the link to its affiliation."""
-    return shred.entity_table(_unique_edge_nodes(spark, d), "edge_id", "source", "properties.affiliations.roles", ["title", "from", "to"])
+def _entity_query(doc: str, arr_path: str | None, fields: tuple[str, ...]) -> Callable[[SparkSession, str], DataFrame]:
+    """Entity table with the link `owner`: the node of the enclosing element, or the endpoint or edge (node 0)."""
+    return lambda spark, d: shred.entity_table(_entity_nodes(spark, d, {doc: (arr_path, fields)}), "edge_id", doc, arr_path, fields)
 
 
 def p3_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Flat edges: type and since of the properties document, and the two endpoints' ids."""
-    nodes = _unique_edge_nodes(spark, d)
-    edges = shred.entity_table(nodes, "edge_id", "properties", None, ["type", "since"]).select("edge_id", "type", "since")
+    """Flat edges: every edge with its edgetype in one spelling (Local, Central), type and since of the properties
+    document, and the two endpoints' ids."""
+    kind = F.initcap(F.trim("edgetype"))
+    edges = table(spark, d, "edge").select("edge_id", F.when(kind != "", kind).alias("edgetype")).distinct()
+    ends, own = ("id", "pid"), ("type", "since")
+    nodes = _entity_nodes(spark, d, {"source": (None, ends), "destination": (None, ends), "properties": (None, own)})
+    edges = edges.join(shred.entity_table(nodes, "edge_id", "properties", None, own).select("edge_id", *own), "edge_id", "left")
     for side in ("source", "destination"):
-        ends = shred.entity_table(nodes, "edge_id", side, None, ["id", "pid"]).select("edge_id", F.col("id").alias(f"{side}_id"), F.col("pid").alias(f"{side}_pid"))
-        edges = edges.join(ends, "edge_id", "full")
+        found = shred.entity_table(nodes, "edge_id", side, None, ends).select("edge_id", *[F.col(c).alias(f"{side}_{c}") for c in ends])
+        edges = edges.join(found, "edge_id", "left")
     return edges
 
 
@@ -166,7 +198,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return p6_found(spark, d).groupBy("child_table", "period_ym", "reason").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p3_found, p3_roles, p3_edges, p4_found, p4_source_wide, p4_edge_wide, p5_found, p5_vertex_counts, p6_found, p6_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p3_found, p3_edges, p4_found, p4_source_wide, p4_edge_wide, p5_found, p5_vertex_counts, p6_found, p6_report)} | {n: _entity_query(*e) for n, e in ENTITIES.items()}
 
 _P6 = """
 WITH perf AS (SELECT DISTINCT * FROM graph_place_sla_performance), g AS (SELECT DISTINCT * FROM graph),
