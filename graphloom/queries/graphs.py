@@ -188,10 +188,8 @@ def degree_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ego_net(spark: SparkSession, d: str) -> DataFrame:
-    """Ego networks of the twenty users of highest degree."""
-    g = follows(spark, d)
-    top = degrees.out_degrees(g).orderBy(F.desc("degree"), "id").limit(20)
-    return degrees.ego_net(g, top)
+    """Ego networks of all users."""
+    return degrees.ego_net(follows(spark, d))
 
 
 def pagerank_purchases(spark: SparkSession, d: str) -> DataFrame:

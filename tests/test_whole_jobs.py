@@ -6,7 +6,7 @@ import os
 import pytest
 
 from graphloom.operators import shred
-from graphloom.queries import problems
+from graphloom.queries import graphs, problems
 
 D = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
@@ -56,3 +56,14 @@ def test_array_tables_hold_all_objects_of_p3_found(spark):
     for name in ("p3_destination_roles", "p3_measures", "p3_evidence"):
         doc, path, _ = problems.ENTITIES[name]
         assert set(rows(problems.QUERIES[name](spark, D), "edge_id", "arr_pos")) == found[doc, path]
+
+
+def test_every_user_has_an_ego_network(spark, tmp_path):
+    users = [u for k in range(40) for u in (k, (k + 1) % 40, (k + 2) % 40)]
+    events = [(i, i, u, "view") for i, u in enumerate(users)]
+    spark.createDataFrame(events, "event_id bigint, ts bigint, user_id bigint, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    pairs = {(a, b) for x, y in zip(users, users[1:]) if x != y for a, b in ((x, y), (y, x))}
+    n = {a: {y for x, y in pairs if x == a} for a, _ in pairs}
+    want = {(a, a, w) for a in n for w in n[a]} | {(a, w, x) for a in n for w in n[a] for x in n[w] & n[a]}
+    assert rows(graphs.QUERIES["ego_net"](spark, str(tmp_path)), "ego", "src", "dst") == sorted(want)
+    assert len({e for e, _, _ in want}) == 40
