@@ -106,7 +106,7 @@ CYPHER: dict[str, tuple[str, str]] = {
     "expand_left_arrow": ("MATCH (r:Region)<-[:IN_REGION]-(n)<-[:IN_NATION]-(c:Customer) RETURN r.name AS region, count(*) AS n", "SELECT r.name AS region, count(*) AS n FROM E e JOIN V r ON r.id = e.dst JOIN E f ON f.dst = e.src JOIN V c ON c.id = f.src WHERE e.type = 'IN_REGION' AND f.type = 'IN_NATION' AND c.label = 'Customer' GROUP BY ALL"),
     "expand_two_hop": ("MATCH (c:Customer)-[:PLACED]->(o)-[l:CONTAINS]->(p:Part) WHERE p.size = 10 RETURN c.id AS c, p.id AS p, l.quantity AS q", "SELECT x.src AS c, y.dst AS p, y.quantity AS q FROM E x JOIN E y ON x.dst = y.src JOIN V p ON p.id = y.dst WHERE x.type = 'PLACED' AND y.type = 'CONTAINS' AND p.size = 10"),
     "expand_multi_type": ("MATCH (a)-[r:PLACED|IN_NATION]->(b) RETURN type(r) AS t, count(*) AS n", "SELECT type AS t, count(*) AS n FROM E WHERE type IN ('PLACED', 'IN_NATION') GROUP BY ALL"),
-    "rel_uniqueness": ("MATCH (o:Order)-[r1:CONTAINS]->(p)<-[r2:CONTAINS]-(q) WHERE p.id < 2000020 RETURN p.id AS p, count(*) AS n", "SELECT x.dst AS p, count(*) AS n FROM E x JOIN E y ON x.dst = y.dst AND x.eid <> y.eid WHERE x.type = 'CONTAINS' AND y.type = 'CONTAINS' AND x.dst < 2000020 GROUP BY ALL"),
+    "rel_uniqueness": ("MATCH (o:Order)-[r1:CONTAINS]->(p)<-[r2:CONTAINS]-(q) RETURN p.id AS p, count(*) AS n", "SELECT x.dst AS p, count(*) AS n FROM E x JOIN E y ON x.dst = y.dst AND x.eid <> y.eid WHERE x.type = 'CONTAINS' AND y.type = 'CONTAINS' AND x.dst < 2000020 GROUP BY ALL"),
     "shared_variable_parts": ("MATCH (s:Supplier)-[:IN_NATION]->(n), (p)-[:SUPPLIED_BY]->(s) WHERE p.size < 3 RETURN n.name AS nation, count(*) AS n", "SELECT n.name AS nation, count(*) AS n FROM E x JOIN V n ON n.id = x.dst JOIN E y ON y.dst = x.src JOIN V p ON p.id = y.src WHERE x.type = 'IN_NATION' AND y.type = 'SUPPLIED_BY' AND p.size < 3 GROUP BY ALL"),
     "second_match": ("MATCH (c:Customer)-[:IN_NATION]->(n) WHERE c.acctbal > 9000 MATCH (n)-[:IN_REGION]->(r) RETURN r.name AS region, count(c) AS n", "SELECT r.name AS region, count(*) AS n FROM V c JOIN E x ON x.src = c.id AND x.type = 'IN_NATION' JOIN E y ON y.src = x.dst AND y.type = 'IN_REGION' JOIN V r ON r.id = y.dst WHERE c.label = 'Customer' AND c.acctbal > 9000 GROUP BY ALL"),
     "filter_compare_ops": ("MATCH (p:Part) WHERE p.size >= 10 AND p.size <= 20 AND p.size <> 15 AND p.price > 1000 RETURN p.id AS id", "SELECT id FROM V WHERE label = 'Part' AND size >= 10 AND size <= 20 AND size <> 15 AND price > 1000"),
@@ -148,7 +148,7 @@ CYPHER: dict[str, tuple[str, str]] = {
 
 UPDATES: dict[str, tuple[str, str, str]] = {
     "create_then_match": ("MATCH (n:Nation)-[:IN_REGION]->(r:Region {name: 'ASIA'}) CREATE (n)-[:ALLY {since: 2020}]->(m:Union {name: n.name + '!'})", "MATCH (a)-[r:ALLY]->(u:Union) RETURN a.name AS a, r.since AS since, u.name AS u", "SELECT n.name AS a, CAST(2020 AS BIGINT) AS since, n.name || '!' AS u FROM E JOIN V n ON n.id = src JOIN V r ON r.id = dst WHERE type = 'IN_REGION' AND r.name = 'ASIA'"),
-    "merge_edges": ("MATCH (n:Nation), (r:Region) WHERE n.id < 103 MERGE (n)-[:IN_REGION]->(r)", "MATCH (n)-[:IN_REGION]->(r) RETURN n.id AS n, count(*) AS k", "SELECT id AS n, CASE WHEN id < 103 THEN (SELECT count(*) FROM region) ELSE 1 END AS k FROM V WHERE label = 'Nation'"),
+    "merge_edges": ("MATCH (n:Nation), (r:Region) MERGE (n)-[:IN_REGION]->(r)", "MATCH (n)-[:IN_REGION]->(r) RETURN n.id AS n, count(*) AS k", "SELECT id AS n, CASE WHEN id < 103 THEN (SELECT count(*) FROM region) ELSE 1 END AS k FROM V WHERE label = 'Nation'"),
     "set_property": ("MATCH (p:Part) WHERE p.size > 40 SET p.size = p.size * 100", "MATCH (p:Part) RETURN p.id AS id, p.size AS size", "SELECT id, CASE WHEN size > 40 THEN size * 100 ELSE size END AS size FROM V WHERE label = 'Part'"),
     "remove_property": ("MATCH (p:Part {size: 5}) REMOVE p.brand", "MATCH (p:Part) WHERE p.brand IS NULL RETURN p.id AS id", "SELECT id FROM V WHERE label = 'Part' AND size = 5"),
     "detach_delete": ("MATCH (r:Region {name: 'ASIA'}) DETACH DELETE r", "MATCH (n:Nation)-[:IN_REGION]->(r) RETURN r.name AS region, count(*) AS n", "SELECT r.name AS region, count(*) AS n FROM E JOIN V r ON r.id = dst WHERE type = 'IN_REGION' AND r.name <> 'ASIA' GROUP BY ALL"),

@@ -67,3 +67,14 @@ def test_every_user_has_an_ego_network(spark, tmp_path):
     want = {(a, a, w) for a in n for w in n[a]} | {(a, w, x) for a in n for w in n[a] for x in n[w] & n[a]}
     assert rows(graphs.QUERIES["ego_net"](spark, str(tmp_path)), "ego", "src", "dst") == sorted(want)
     assert len({e for e, _, _ in want}) == 40
+
+
+@needs_tables
+def test_all_parts_and_nations_are_matched(spark):
+    import collections
+
+    import pyarrow.parquet as pq
+
+    lines = collections.Counter(pq.read_table(f"{D}/lineitem.parquet")["l_partkey"].to_pylist())
+    assert rows(graphs.QUERIES["rel_uniqueness"](spark, D), "p", "n") == sorted((2_000_000 + p, n * (n - 1)) for p, n in lines.items() if n > 1)
+    assert rows(graphs.QUERIES["merge_edges"](spark, D), "n", "k") == [(100 + i, 5) for i in range(25)]
