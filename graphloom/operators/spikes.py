@@ -10,8 +10,8 @@ forest trained on that source alone. A reading is flagged by
 
 A source may hold any share of all rows: rows are worked in (source, id block) groups of bounded size, and runs that
 cross blocks are joined by a window over two summary rows per block. Forests are trained on at most about `sample`
-readings per source, drawn by a hash of the id (an isolation tree uses `psi` of them in any case); quantiles, counts
-and scores are of all readings.
+non-null readings per source and metric, drawn by a hash of the id (an isolation tree uses `psi` of them in any case);
+quantiles, seasonal medians, counts and scores are of all readings.
 """
 
 from __future__ import annotations
@@ -184,14 +184,17 @@ def score_readings(df: DataFrame, source: str, run: str, metrics: Sequence[str],
 
     df: `id` (unique, in the order of measuring), the source column, the run column (where a new value or a gap in
     id begins a run) and the metrics. Exact repeats count once; rows with a null id or source are left out; NaN is no
-    reading; an empty table gives no rows; other columns are ignored. A source with too few readings for a forest
-    (under 8) has score 0 and its readings are judged by the other rules alone.
+    reading; an empty table gives no rows; other columns are ignored. A source with too few non-null readings
+    of a metric for a forest (under 8) has score 0 there and these readings are judged by the other rules alone.
     """
     k = len(metrics)
     x = materialize(_readings(df, source, run, metrics, rules.block), "readings")
     grids = [F.percentile_approx(f"x{i}", list(GRID), 2000).alias(f"q{i}") for i in range(k)]
     # written out, so that its size is known where it meets the readings: they are not shuffled by source
-    stats = materialize(x.groupBy("source").agg(F.count("*").alias("rows"), *grids), "stats")
+    stats = x.groupBy("source").agg(*[F.count(f"x{i}").alias(f"c{i}") for i in range(k)], *grids)
+    usual = x.groupBy("source", F.least("step", F.lit(SEASON - 1)).alias("s")).agg(*[F.percentile_approx(f"x{i}", 0.5, 10000).alias(f"m{i}") for i in range(k)])
+    usual = usual.groupBy("source").agg(F.collect_list(F.struct("s", *[f"m{i}" for i in range(k)])).alias("season"))
+    stats = materialize(stats.join(usual, "source"), "stats")
 
     def fit(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         models = []
@@ -203,7 +206,9 @@ def score_readings(df: DataFrame, source: str, run: str, metrics: Sequence[str],
                 continue
             level, spread = levels(np.asarray(grid, float))
             step = np.minimum(part["step"].to_numpy(), SEASON - 1)
-            season = part[f"x{i}"].groupby(step).median().reindex(range(SEASON)).to_numpy(float)
+            season = np.full(SEASON, np.nan)
+            for u in own["season"].iloc[0]:
+                season[u["s"]] = np.nan if u[f"m{i}"] is None else u[f"m{i}"]
             model = {"levels": level, "spread": spread, "season": season}
             points = features(part[f"x{i}"].to_numpy(float), part[f"b{i}"].to_numpy(float), step, part[f"n{i}"].to_numpy(float), model)
             model["forest"] = grow(points, rules.trees, rules.psi, seed=i + 1)
@@ -212,7 +217,10 @@ def score_readings(df: DataFrame, source: str, run: str, metrics: Sequence[str],
 
     source_type = x.schema["source"].dataType.simpleString()
     hashed = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = x.join(stats.select("source", "rows"), "source").where(hashed < F.lit(float(rules.sample)) / F.col("rows"))
+    sample = x.join(stats.select("source", *[f"c{i}" for i in range(k)]), "source")
+    for i in range(k):  # each metric draws from its own readings, so one that is rarely filled in keeps them all
+        sample = sample.withColumn(f"x{i}", F.when(hashed < F.lit(float(rules.sample)) / F.col(f"c{i}"), F.col(f"x{i}")))
+    sample = sample.where(F.coalesce(*[f"x{i}" for i in range(k)]).isNotNull())
     sample = sample.select("source", "id", "step", *[f"{c}{i}" for i in range(k) for c in "xbn"])
     models = sample.groupBy("source").cogroup(stats.toDF(*stats.columns).groupBy("source")).applyInPandas(fit, f"source {source_type}, model binary")
     # a block's model comes with the blocks' crossing runs, so the scored readings are not shuffled again for them

@@ -2,10 +2,11 @@
 
 import json
 import os
+import random
 
 import pytest
 
-from graphloom.operators import shred
+from graphloom.operators import shred, spikes
 from graphloom.queries import graphs, problems
 
 D = "/root/testdata/sf0.001"
@@ -78,3 +79,24 @@ def test_all_parts_and_nations_are_matched(spark):
     lines = collections.Counter(pq.read_table(f"{D}/lineitem.parquet")["l_partkey"].to_pylist())
     assert rows(graphs.QUERIES["rel_uniqueness"](spark, D), "p", "n") == sorted((2_000_000 + p, n * (n - 1)) for p, n in lines.items() if n > 1)
     assert rows(graphs.QUERIES["merge_edges"](spark, D), "n", "k") == [(100 + i, 5) for i in range(25)]
+
+
+def test_a_rarely_filled_metric_of_a_hot_place_gets_its_forest(spark):
+    rng = random.Random(5)
+    full = 20_000
+    readings = [(i, i // 20, 1, rng.gauss(10, 1), rng.gauss(100, 2) if i % 100 == 0 else None) for i in range(1, full + 1)]
+    readings[9_999] = (10_000, 500, 1, 10.0, 400.0)
+    df = spark.createDataFrame(readings, "id bigint, run bigint, place int, m double, rare double")
+    rules = spikes.Rules(limits={}, block=4096, sample=256, trees=16, psi=64)
+    got = spikes.score_readings(df, "place", "run", ["m", "rare"], rules).where("metric = 'rare'").collect()
+    assert len(got) == full // 100 and all(r["score"] > 0 for r in got)
+    assert {r["id"] for r in got if r["isolated"]} == {10_000}
+
+
+def test_seasonal_medians_are_of_all_readings(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(spikes, "materialize", lambda df, label="step": seen.append((label, df)) or df)
+    df = spark.createDataFrame([(i, i // 20, 1, float(i % 20 * 1000 + i // 20)) for i in range(2_000)], "id bigint, run bigint, place int, m double")
+    spikes.score_readings(df, "place", "run", ["m"], spikes.Rules(limits={}, sample=64))
+    (stats,) = [d.collect() for label, d in seen if label == "stats"]
+    assert {u["s"]: u["m0"] for u in stats[0]["season"]} == {s: s * 1000 + 49.0 for s in range(20)}
