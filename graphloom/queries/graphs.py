@@ -193,7 +193,7 @@ def ego_net(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pagerank_purchases(spark: SparkSession, d: str) -> DataFrame:
-    return pagerank.pagerank(purchases(spark, d), 0.85, 5).select("id", F.round("rank", 9).alias("rank"))
+    return pagerank.pagerank(purchases(spark, d), 0.85, 10).select("id", F.round("rank", 9).alias("rank"))
 
 
 def hash_partition_stats(spark: SparkSession, d: str) -> DataFrame:

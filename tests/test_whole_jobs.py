@@ -100,3 +100,14 @@ def test_seasonal_medians_are_of_all_readings(spark, monkeypatch):
     spikes.score_readings(df, "place", "run", ["m"], spikes.Rules(limits={}, sample=64))
     (stats,) = [d.collect() for label, d in seen if label == "stats"]
     assert {u["s"]: u["m0"] for u in stats[0]["season"]} == {s: s * 1000 + 49.0 for s in range(20)}
+
+
+@needs_tables
+def test_pagerank_makes_the_ten_default_rounds(spark):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
+    want = dict(con.execute(graphs._pagerank_sql(10)).fetchall())
+    got = dict(rows(graphs.QUERIES["pagerank_purchases"](spark, D), "id", "rank"))
+    assert got == pytest.approx(want, abs=2e-9) and want != pytest.approx(dict(con.execute(graphs._pagerank_sql(5)).fetchall()), abs=2e-9)
