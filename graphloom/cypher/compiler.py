@@ -29,6 +29,7 @@ class Result:
 def run(graph: Graph, text: str, params: dict | None = None, procedures: dict | None = None) -> Result:
     """Runs a query; the given graph stays as it is, updates are in the result's graph."""
     tree = parse(text)
+    graph = graph.keyed()  # relationships of one MATCH are told apart by their numbers
     known = PROCEDURES | (procedures or {})
     queries = tree.queries if isinstance(tree, A.Union) else (tree,)
     outs = []

@@ -5,7 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from .runtime import materialize
 
 VERTEX_SYSTEM = ("id", "label", "labels", "props")
 EDGE_SYSTEM = ("eid", "src", "dst", "type", "props")
@@ -14,9 +16,9 @@ EDGE_SYSTEM = ("eid", "src", "dst", "type", "props")
 @dataclass(frozen=True)
 class Graph:
     """vertices(id bigint, label string and/or labels array<string>, typed property columns and/or props
-    map<string,string>); edges(eid bigint, src, dst, type, property columns and/or props). Edges join existing
-    vertices (valid() checks it); parallel edges and self-loops are allowed. In an undirected graph an edge is
-    stored once and matches both ways."""
+    map<string,string>); edges(src, dst, type, property columns and/or props, eid bigint where an edge needs an
+    identity: keyed() adds it). Edges join existing vertices (valid() checks it); parallel edges and self-loops are
+    allowed. In an undirected graph an edge is stored once and matches both ways."""
 
     vertices: DataFrame
     edges: DataFrame
@@ -24,16 +26,23 @@ class Graph:
 
     @staticmethod
     def of_edges(edges: DataFrame, directed: bool = True, partitions: int | None = None) -> Graph:
-        """A graph of (src, dst) rows: vertices are the distinct endpoints; eid numbers the distinct rows when
-        there is none, type is DEFAULT when there is none. Rows with a null end are left out."""
+        """A graph of (src, dst) rows: vertices are the distinct endpoints, type is DEFAULT when there is none. Rows
+        with a null end are left out."""
         e = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull())
         e = e.withColumns({"src": F.col("src").cast("bigint"), "dst": F.col("dst").cast("bigint")})
         if "type" not in e.columns:
             e = e.withColumn("type", F.lit("DEFAULT"))
-        if "eid" not in e.columns:
-            e = e.withColumn("eid", edge_number(e))
         v = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("label", F.lit(None).cast("string"))
-        return Graph(v, e.select("eid", "src", "dst", "type", *[c for c in e.columns if c not in EDGE_SYSTEM[:4]]), directed)
+        first = [c for c in EDGE_SYSTEM[:4] if c in e.columns]
+        return Graph(v, e.select(*first, *[c for c in e.columns if c not in first]), directed)
+
+    def keyed(self) -> Graph:
+        """The graph with edge numbers: a row's eid is its partition and its place there, so no two rows share one
+        however many there are. The edges are written out with them, so that every reading sees the same numbers; a
+        graph that has them is returned as it is."""
+        if "eid" in self.edges.columns:
+            return self
+        return Graph(self.vertices, materialize(self.edges.select(F.monotonically_increasing_id().alias("eid"), "*"), "edges"), self.directed)
 
     @staticmethod
     def of_labels(vertices: dict[str, DataFrame], edges: dict[str, DataFrame], directed: bool = True) -> Graph:
@@ -51,8 +60,9 @@ class Graph:
 
     def valid(self) -> DataFrame:
         """Edges with an end that is no vertex; empty if the graph is sound."""
-        ids = self.vertices.select(F.col("id").alias("__id"))
-        return self.edges.join(ids, F.col("src") == F.col("__id"), "left_anti").unionByName(self.edges.join(ids, F.col("dst") == F.col("__id"), "left_anti")).dropDuplicates(["eid"])
+        ends = [self.vertices.select(F.col("id").alias(c), F.lit(True).alias(f"__{c}")) for c in ("src", "dst")]
+        x = self.edges.join(ends[0], "src", "left").join(ends[1], "dst", "left")
+        return x.where(F.col("__src").isNull() | F.col("__dst").isNull()).select(*self.edges.columns)
 
     def adjacency(self) -> DataFrame:
         """Distinct (src, dst); both ways for an undirected graph."""
@@ -64,10 +74,3 @@ class Graph:
     def undirected_pairs(self) -> DataFrame:
         """Distinct (a, b) with a < b of adjacent vertices, self-loops left out."""
         return self.edges.where(F.col("src") != F.col("dst")).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-
-
-def edge_number(edges: DataFrame) -> Column:
-    """A number for every edge row by its content: the upper bits are a hash of the row, the lower 20 count equal
-    rows, so no sort of all rows in one task is needed and equal inputs get equal numbers."""
-    h = F.shiftrightunsigned(F.xxhash64(*[F.col(c) for c in edges.columns]), 21)
-    return F.shiftleft(h, 20) + F.row_number().over(Window.partitionBy(*edges.columns).orderBy(F.lit(0))) - 1

@@ -29,12 +29,8 @@ def p1_scores(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).withColumnRenamed("source", "place_id")
 
 
-def edge_nodes(spark: SparkSession, d: str, objects_only: bool) -> DataFrame:
-    return shred.shred(table(spark, d, "edge"), "edge_id", shred.EDGE_ARRAYS, objects_only)
-
-
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return shred.array_objects(edge_nodes(spark, d, True), "edge_id")
+    return shred.elements(table(spark, d, "edge"), "edge_id", shred.EDGE_ARRAYS)
 
 
 #: Flat tables of the endpoints and array elements: document, array path (None: the endpoint itself), scalar fields.
@@ -57,20 +53,13 @@ ENTITIES |= {
 }
 
 
-def _entity_nodes(spark: SparkSession, d: str, wanted: dict[str, tuple[str | None, tuple[str, ...]]]) -> DataFrame:
-    """Objects at one array path of each document (None: its top) and their scalars, each once, written out: both
-    sides of the entity tables' join read them."""
-    nodes = shred.shred(table(spark, d, "edge"), "edge_id", {c: shred.EDGE_ARRAYS[c] for c in wanted})
-    kept = F.lit(False)
-    for doc, (path, fields) in wanted.items():
-        placed = (F.col("doc") == doc) & F.col("arr_path").eqNullSafe(F.lit(path))
-        kept |= placed & ((F.col("kind") == "element") | F.col("parent").isNull() | ((F.col("kind") == "scalar") & F.col("field").isin(*fields)))
-    return materialize(nodes.where(kept).drop("label", "ordinal").distinct(), "nodes")
+def _entities(spark: SparkSession, d: str, doc: str, arr_path: str | None, fields: tuple[str, ...]) -> DataFrame:
+    return shred.entities(table(spark, d, "edge"), "edge_id", shred.EDGE_ARRAYS[doc], doc, arr_path, fields)
 
 
 def _entity_query(doc: str, arr_path: str | None, fields: tuple[str, ...]) -> Callable[[SparkSession, str], DataFrame]:
     """Entity table with the link `owner`: the node of the enclosing element, or the endpoint or edge (node 0)."""
-    return lambda spark, d: shred.entity_table(_entity_nodes(spark, d, {doc: (arr_path, fields)}), "edge_id", doc, arr_path, fields)
+    return lambda spark, d: _entities(spark, d, doc, arr_path, fields)
 
 
 def p3_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -79,10 +68,9 @@ def p3_edges(spark: SparkSession, d: str) -> DataFrame:
     kind = F.initcap(F.trim("edgetype"))
     edges = table(spark, d, "edge").select("edge_id", F.when(kind != "", kind).alias("edgetype")).distinct()
     ends, own = ("id", "pid"), ("type", "since")
-    nodes = _entity_nodes(spark, d, {"source": (None, ends), "destination": (None, ends), "properties": (None, own)})
-    edges = edges.join(shred.entity_table(nodes, "edge_id", "properties", None, own).select("edge_id", *own), "edge_id", "left")
+    edges = edges.join(_entities(spark, d, "properties", None, own).select("edge_id", *own), "edge_id", "left")
     for side in ("source", "destination"):
-        found = shred.entity_table(nodes, "edge_id", side, None, ends).select("edge_id", *[F.col(c).alias(f"{side}_{c}") for c in ends])
+        found = _entities(spark, d, side, None, ends).select("edge_id", *[F.col(c).alias(f"{side}_{c}") for c in ends])
         edges = edges.join(found, "edge_id", "left")
     return edges
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -17,12 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share, from spark.checkpoint.dir; only where that is unset (tests on one
-    machine) a temporary folder is made and set."""
+    """Folder that all executors share, from spark.checkpoint.dir. Where that is unset, a session on one machine gets a
+    temporary folder; on a cluster it is an error, since a machine's own folder is not the others'."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not re.match(r"local(-cluster)?(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir is unset; {master} needs a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -30,7 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: lineage ends there, so a lost
-    executor costs a re-read and not a recomputation. The table is removed when the session ends."""
+    executor costs a re-read and not a recomputation. The table is removed when the session ends, or at the end of
+    the scratch() block that it was written in."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
@@ -54,6 +61,26 @@ def cleanup() -> None:
             pass
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that materialize() writes inside the block are removed at its end: use up or store the block's results
+    within it. Long sessions keep the shared folder small by it."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        while len(_written) > before:
+            _remove(*_written.pop())
+
+
+def dropped(df: DataFrame) -> None:
+    """Removes a table of materialize() that nothing reads any more."""
+    path = df.inputFiles()[0].rpartition("/")[0] if df.inputFiles() else ""
+    for entry in [e for e in _written if path and e[1].rpartition("/")[2] == path.rpartition("/")[2]]:
+        _written.remove(entry)
+        _remove(*entry)
+
+
 atexit.register(cleanup)
 
 

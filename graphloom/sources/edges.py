@@ -81,9 +81,7 @@ def vertices_of_json(messages: DataFrame) -> DataFrame:
 def edge_json_graph(spark: SparkSession, path: str, directed: bool = True) -> Graph:
     m = parse_edge_json(spark.read.text(path))
     e = edges_of_json(m)
-    keyed = Graph.of_edges(e.withColumn("__j", F.to_json("props")).drop("props"), directed).edges
-    keyed = keyed.withColumn("props", F.from_json("__j", "map<string,string>")).drop("__j")
-    return Graph(vertices_of_json(m), keyed, directed)
+    return Graph(vertices_of_json(m), e, directed)
 
 
 # Bibliography elements and the fields taken from them.
@@ -194,6 +192,7 @@ def with_attributes(graph: Graph, attributes: DataFrame) -> Graph:
 
 def write_graph(graph: Graph, path: str, mode: str = "errorifexists", buckets: int = 0) -> None:
     """Parquet tables vertices and edges; edges sorted by source within files, so that seeks by source prune."""
+    graph = graph.keyed()
     graph.vertices.write.mode(mode).parquet(f"{path}/vertices")
     e = graph.edges.repartition(buckets, "src") if buckets else graph.edges
     e.sortWithinPartitions("src").write.mode(mode).parquet(f"{path}/edges")

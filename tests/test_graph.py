@@ -136,7 +136,7 @@ def test_known_graphs(spark, file, vertices, edges, pairs, count):
     g = sources.edge_list_graph(spark, f"{DATA}/{file}")
     assert (g.vertex_count().first()[0], g.edge_count().first()[0], g.undirected_pairs().count()) == (vertices, edges, pairs)
     assert triangles.triangle_count(g).first()[0] == count
-    assert g.edges.select("eid").distinct().count() == edges
+    assert g.keyed().edges.select("eid").distinct().count() == edges
 
 
 def messages():

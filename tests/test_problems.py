@@ -222,3 +222,39 @@ def test_checked_reasons(spark):
     parent = spark.createDataFrame([(1, t[0], 1), (2, t[2], 1), (3, t[0], 3), (4, t[1], None)], "key int, loaded_at timestamp, status int")
     bad = references.checked(child, parent, ("ref", "key"), "id", deleted=F.coalesce(F.col("status") == 3, F.lit(False)))
     assert sorted((r["id"], r["__reason"]) for r in bad.collect()) == [(2, "late"), (3, "deleted"), (4, "missing")]
+
+
+def test_shred_has_no_limit_of_wrapping_or_depth(spark):
+    want = objects(spark, json.dumps(DOC))
+    wrapped = json.dumps(DOC)
+    for _ in range(17):  # each wrapping doubles the escapes
+        wrapped = json.dumps(wrapped)
+    assert objects(spark, wrapped) == want
+    plain = '{"id": 7}'
+    for _ in range(18):
+        plain = json.dumps(plain)
+    assert shred.parse(plain) == {"id": 7}
+    deep = '{"x":' * 100_000 + '{"y":1}' + "}" * 100_000
+    doc = '{"id": 5, "far": ' + deep + ', "properties": {"contacts": [{"kind": ' + deep + "}]}}"
+    assert objects(spark, doc) == [(0, "properties.contacts", "0")]
+    assert [r["id"] for r in shred.entities(edges(spark, [doc]), "edge_id", shred.EDGE_ARRAYS["source"], "source", None, ["id"]).collect()] == ["5"]
+    assert objects(spark, doc[:-1], doc + "]") == []
+
+
+def test_deep_reader_reads_as_the_plain_one():
+    for text in ('{"a": [1, -2.5e3, "x\\u00e9\\n", {}, [], null, true, false, {"b": [[1], {"c": ""}]}], "a": 2, "": " "}', " [ ] ", "3", '"x"', "null", "-0", "1E5"):
+        assert shred._load_deep(text) == json.loads(text) and str(shred._load_deep(text)) == str(json.loads(text))
+    for bad in ("", "{", '{"a"}', '{"a":1,}', "[1,]", "[1 2]", "{} x", "01", "NaN", '"a', "{1:2}", "[1}", "tru", '"\n"', "+1", "-"):
+        with pytest.raises(ValueError):
+            shred._load_deep(bad)
+
+
+@pytest.mark.parametrize("path,fields", [(None, ["id", "properties.name"]), ("properties.affiliations.roles", ["title", "node"]), ("properties.affiliations", ["org.sites"])])
+def test_one_pass_entities_equal_joined_ones(spark, path, fields):
+    df = edges(spark, [json.dumps(DOC), '{"id": "x"}', None, "{", json.dumps(DOC)])
+    arrays = shred.EDGE_ARRAYS["source"]
+    two = shred.entity_table(shred.shred(df, "edge_id", shred.EDGE_ARRAYS), "edge_id", "source", path, fields)
+    one = shred.entities(df, "edge_id", arrays, "source", path, fields)
+    assert one.columns == two.columns
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect())) != []
+    assert shred.entities(df.limit(0), "edge_id", arrays, "source", path, fields).count() == 0
