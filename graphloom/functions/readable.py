@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-#: White space and invisible characters at the ends of a value.
-EDGE = r"[\s\u0085\u00a0\u1680\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]+"
+#: White space and invisible characters that count as nothing at the ends of a value.
+EDGE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u200c\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 
 # The words that mean true and false.
 TRUE_WORDS = ("true", "t", "yes", "y", "on", "1")
@@ -20,10 +20,10 @@ FALSE_WORDS = ("false", "f", "no", "n", "off", "0")
 # English month names in order; a prefix of three letters or the full name counts.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
-SIGNED = r"^[+-]?"
-PLAIN = SIGNED + r"\d+"
-GROUPED = SIGNED + r"\d{1,3}(,\d{3})+"
-NUMBER = rf"({PLAIN}|{GROUPED})(\.\d+)?([eE][+-]?\d{{1,3}})?$|{SIGNED}\.\d+([eE][+-]?\d{{1,3}})?$"
+#: A number: sign, digits plain or in groups of three, fraction, exponent.
+NUMBER = r"^([+-]?)(?=\.?\d)(\d*|\d{1,3}(?:,\d{3})+)(?:\.(\d+))?(?:[eE]([+-]?\d{1,3}))?$"
+#: The usual case, which needs no taking apart.
+PLAIN = r"^[+-]?\d+$"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -33,27 +33,52 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def trimmed(c: Column) -> Column:
     """Without outer white space; null if nothing is left."""
-    return F.nullif(F.regexp_replace(c, f"^{EDGE}|{EDGE}$", ""), F.lit(""))
+    return F.nullif(F.btrim(c, F.lit(EDGE)), F.lit(""))
 
 
 def unquoted(c: Column) -> Column:
     """trimmed(), then without one pair of matching quotes around the whole value."""
-    return trimmed(F.regexp_replace(trimmed(c), r"""(?s)^"(.*)"$|^'(.*)'$""", "$1$2"))
 
+    def strip(t: Column) -> Column:
+        quoted = (F.length(t) > 1) & (F.left(t, F.lit(1)) == F.right(t, F.lit(1))) & F.left(t, F.lit(1)).isin('"', "'")
+        return F.when(quoted, trimmed(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(t)
 
-def as_number(c: Column) -> Column:
-    """decimal(38,6): digits with a sign, groups of three set off by commas, a decimal point, an exponent."""
-    return let(unquoted(c), lambda t: F.regexp_replace(F.when(t.rlike(NUMBER), t), ",", "").try_cast("decimal(38,6)"))
+    return let(trimmed(c), strip)
+
+
+def _digits(t: Column) -> Column:
+    """A number's text taken apart by its digits alone, so that no value is rounded on the way: (sign and whole digits,
+    fraction digits), the exponent worked in; null if t is no number."""
+    group = lambda i: F.regexp_extract(t, NUMBER, i)
+
+    def placed(p: Column) -> Column:
+        digits, point = F.concat(p["whole"], p["part"]), F.length(p["whole"]) + p["shift"]
+        whole = F.when(point <= 0, "0").otherwise(F.rpad(F.left(digits, point), point, F.lit("0")))
+        part = F.when(point <= 0, F.concat(F.repeat(F.lit("0"), -point), digits)).otherwise(F.substring(digits, point + 1, F.greatest(F.lit(0), F.length(digits) - point)))
+        return F.struct(F.concat(p["sign"], whole).alias("whole"), part.alias("part"))
+
+    parts = F.struct(group(1).alias("sign"), F.replace(group(2), F.lit(","), F.lit("")).alias("whole"), group(3).alias("part"), F.coalesce(group(4).try_cast("int"), F.lit(0)).alias("shift"))
+    return F.when(t.rlike(NUMBER), let(parts, placed))
 
 
 def as_long(c: Column) -> Column:
     """bigint: a number without a fraction (1614.0 and 1,063 are whole); null beyond bigint."""
-    return let(as_number(c), lambda n: F.when(n == F.floor(n), n).try_cast("bigint"))
+
+    def whole(t: Column) -> Column:
+        exact = let(_digits(t), lambda d: F.when(F.length(F.rtrim(d["part"], F.lit("0"))) == 0, d["whole"].try_cast("bigint")))
+        return F.when(t.rlike(PLAIN), t.try_cast("bigint")).otherwise(exact)
+
+    return let(unquoted(c), whole)
 
 
 def as_decimal(c: Column) -> Column:
-    """decimal(20,2): a number, rounded half up to cents."""
-    return F.round(as_number(c), 2).try_cast("decimal(20,2)")
+    """decimal(20,2): a number, rounded half up to cents. Only the third digit of a fraction decides that."""
+
+    def cents(t: Column) -> Column:
+        text = let(_digits(t), lambda d: F.concat(d["whole"], F.lit("."), F.left(F.concat(d["part"], F.lit("0")), F.lit(3))))
+        return F.round(text.try_cast("decimal(38,3)"), 2).try_cast("decimal(20,2)")
+
+    return let(unquoted(c), cents)
 
 
 def as_boolean(c: Column) -> Column:
@@ -66,26 +91,20 @@ def as_date(c: Column) -> Column:
     `May 4, 1998`. Orders of day and month that leave doubt are not read, nor dates that do not exist, nor the
     year 0."""
     names = "|".join(f"{m}|{m[:3]}" for m in MONTHS)
-    time = r"([T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s?(Z|[+-]\d{2}:?\d{2})?)?"
-    forms = (
-        (rf"^(\d{{4}})([-/.])(\d{{1,2}})\2(\d{{1,2}}){time}$", "$1-$3-$4"),
-        (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
-        (rf"(?i)^(\d{{1,2}})\.?\s+({names})\.?,?\s+(\d{{4}})$", "$3-$2-$1"),
-        (rf"(?i)^({names})\.?\s+(\d{{1,2}}),?\s+(\d{{4}})$", "$3-$1-$2"),
-    )
+    time = r"(?:[T ]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s?(?:Z|[+-]\d{2}:?\d{2})?)?"
+    digits = rf"^(\d{{4}})(?:([-/.])(\d{{1,2}})\2(\d{{1,2}}){time}|(\d{{2}})(\d{{2}}))$"
+    words = rf"(?i)^(?:(\d{{1,2}})\.?\s+({names})\.?,?|({names})\.?\s+(\d{{1,2}}),?)\s+(\d{{4}})$"
     numbers = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for k in dict.fromkeys((m, m[:3])) for x in (k, str(i))])
 
-    def ordered(t: Column) -> Column:
-        out = F.lit(None).cast("string")
-        for pattern, order in reversed(forms):
-            out = F.when(t.rlike(pattern), F.regexp_replace(t, pattern, order)).otherwise(out)
-        return out
-
-    def dated(parts: Column) -> Column:
-        month = F.coalesce(numbers[F.lower(parts[1])], parts[1])
-        return F.when(parts[0] != "0000", F.concat_ws("-", parts[0], month, parts[2])).try_cast("date")
+    def read(t: Column) -> Column:
+        d = lambda i: F.regexp_extract(t, digits, i)
+        w = lambda i: F.regexp_extract(t, words, i)
+        first = F.left(t, F.lit(4)).rlike(r"^\d{4}$")
+        numeric = F.when(~t.startswith("0000"), F.concat_ws("-", d(1), F.concat(d(3), d(5)), F.concat(d(4), d(6))))
+        named = F.when(w(5) != "0000", F.concat_ws("-", w(5), numbers[F.lower(F.concat(w(2), w(3)))], F.concat(w(1), w(4))))
+        return F.when(first, F.when(t.rlike(digits), numeric)).when(t.rlike(words), named).try_cast("date")
 
-    return let(F.split(let(unquoted(c), ordered), "-"), dated)
+    return let(unquoted(c), read)
 
 
 def as_text(c: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..runtime import salted_join
 
@@ -22,7 +22,7 @@ def _both(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
-def orphans(child: DataFrame, parent: DataFrame, keys: Sequence[tuple[str, str]], row_id: str, match: str = "simple") -> DataFrame:
+def orphans(child: DataFrame, parent: DataFrame, keys: Sequence[tuple[str, str]], row_id: str, match: str = "simple", state: dict[str, Column] | None = None) -> DataFrame:
     """Child rows whose reference finds no parent row, with __reason 'missing' or 'mixed_null'.
 
     keys: (child column, parent column) pairs of one composite reference. Child rows are grouped by which of the
@@ -33,6 +33,10 @@ def orphans(child: DataFrame, parent: DataFrame, keys: Sequence[tuple[str, str]]
     Parent keys are reduced to distinct values before the join (partial aggregation first), and hot reference
     values are salted over row_id, so one value may hold most child rows. Rows that repeat in child repeat in the
     result. Child columns are kept, whatever they are called; parent columns other than the keys are not read.
+
+    state: aggregates over the parent rows of one key, by name. With it the rows that do find a parent are returned
+    too, with a null __reason and their parent's state: the anti-join becomes a left join that keeps what it met, so
+    the child is read and shuffled once for every question about its references.
     """
     if match not in MATCHES:
         raise ValueError(f"match is one of {MATCHES}")
@@ -44,26 +48,32 @@ def orphans(child: DataFrame, parent: DataFrame, keys: Sequence[tuple[str, str]]
         if not here or (match == "simple" and any(mask)):
             continue
         if match == "full" and any(mask):
-            found.append(rows.withColumn("__reason", F.lit("mixed_null")))
+            extra = [F.lit(None).cast(t).alias(n) for n, t in _state_types(parent, state).items()]
+            found.append(rows.select(*child.columns, F.lit("mixed_null").alias("__reason"), *extra))
             continue
         known = parent.where(_both([F.col(p).isNotNull() for _, p in here]))
-        if len(here) == 1:
-            c, p = here[0]
-            ref = known.select(F.col(p).cast(child.schema[c].dataType).alias("__ref")).distinct()
-            lost = salted_join(rows.withColumn("__ref", F.col(c)), ref, "__ref", "left_anti", F.col(row_id)).drop("__ref")
+        # a composite reference is a struct of its columns; a single one stays plain
+        parts = [F.col(p).cast(child.schema[c].dataType).alias(f"__ref{i}") for i, (c, p) in enumerate(here)]
+        own = [F.col(c).alias(f"__ref{i}") for i, (c, _) in enumerate(here)]
+        ref, value = (parts[0], own[0]) if len(here) == 1 else (F.struct(*parts), F.struct(*own))
+        rows = rows.withColumn("__ref", value)
+        if state is None:
+            lost = salted_join(rows, known.select(ref.alias("__ref")).distinct(), "__ref", "left_anti", F.col(row_id))
+            found.append(lost.select(*child.columns, F.lit("missing").alias("__reason")))
         else:
-            # the values of a composite reference, hashed together only to find hot ones; equality is on all columns
-            ref = known.select(*[F.col(p).cast(child.schema[c].dataType).alias(f"__ref{i}") for i, (c, p) in enumerate(here)]).distinct()
-            struct = F.struct(*[F.col(f"__ref{i}") for i in range(len(here))])
-            ref = ref.select(struct.alias("__ref"))
-            rows = rows.withColumn("__ref", F.struct(*[F.col(c).alias(f"__ref{i}") for i, (c, _) in enumerate(here)]))
-            lost = salted_join(rows, ref, "__ref", "left_anti", F.col(row_id)).drop("__ref")
-        found.append(lost.select(*child.columns, F.lit("missing").alias("__reason")))
+            met = known.groupBy(ref.alias("__ref")).agg(*[a.alias(n) for n, a in state.items()]).withColumn("__met", F.lit(True))
+            both = salted_join(rows, met, "__ref", "left", F.col(row_id))
+            found.append(both.select(*child.columns, F.when(F.col("__met").isNull(), "missing").alias("__reason"), *state))
     if not found:
-        return child.limit(0).withColumn("__reason", F.lit("missing"))
+        extra = [F.lit(None).cast(t).alias(n) for n, t in _state_types(parent, state).items()]
+        return child.limit(0).select("*", F.lit("missing").alias("__reason"), *extra)
     return reduce(DataFrame.unionByName, found)
 
 
+def _state_types(parent: DataFrame, state: dict[str, Column] | None) -> dict[str, T.DataType]:
+    return {f.name: f.dataType for f in parent.agg(*[a.alias(n) for n, a in state.items()]).schema} if state else {}
+
+
 def checked(child: DataFrame, parent: DataFrame, key: tuple[str, str], row_id: str, loaded: str = "loaded_at", parent_loaded: str | None = "loaded_at", deleted: Column | None = None) -> DataFrame:
     """Bad references of a single-column key with their __reason: 'missing' (orphans()), 'deleted' (the parent row
     meets `deleted`), 'late' (the parent arrived after the child row; equal times are not late).
@@ -71,13 +81,7 @@ def checked(child: DataFrame, parent: DataFrame, key: tuple[str, str], row_id: s
     Null references, and null times, are no case. The parent key is assumed unique; if it repeats, the parent
     counts as deleted if any row is, and as loaded at its earliest time. Hot references are salted.
     """
-    c, p = key
-    lost = orphans(child, parent, [key], row_id)
-    aggs = [F.max(deleted if deleted is not None else F.lit(False)).alias("__deleted")]
-    aggs.append((F.min(parent_loaded) if parent_loaded else F.lit(None).cast("timestamp")).alias("__since"))
-    state = parent.where(F.col(p).isNotNull()).groupBy(F.col(p).cast(child.schema[c].dataType).alias("__ref")).agg(*aggs)
-    rows = child.where(F.col(c).isNotNull()).withColumn("__ref", F.col(c))
-    bad = salted_join(rows, state, "__ref", "inner", F.col(row_id))
-    reason = F.when(F.col("__deleted"), "deleted").when(F.col("__since") > F.col(loaded), "late")
-    bad = bad.withColumn("__reason", reason).where(F.col("__reason").isNotNull())
-    return lost.unionByName(bad.select(*child.columns, "__reason"))
+    state = {"__deleted": F.max(deleted if deleted is not None else F.lit(False)), "__since": F.min(parent_loaded) if parent_loaded else F.max(F.lit(None).cast("timestamp"))}
+    rows = orphans(child, parent, [key], row_id, "simple", state)
+    reason = F.coalesce("__reason", F.when(F.col("__deleted"), "deleted").when(F.col("__since") > F.col(loaded), "late"))
+    return rows.withColumn("__reason", reason).where(F.col("__reason").isNotNull()).select(*child.columns, "__reason")

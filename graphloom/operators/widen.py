@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import datetime
 import decimal
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
+from pyspark import RDD
 from pyspark.sql import DataFrame, Row, functions as F, types as T
 
 from ..functions.readable import READERS, canonical_text, name_key
@@ -62,6 +63,33 @@ def typed_cells(rows: DataFrame, attributes: DataFrame, entity: Sequence[str], a
     return x.withColumn("__text", text).where(ok).select(*entity, "__attr", "__type", "__time", "__order", "__text")
 
 
+def registers(cells: DataFrame, entity: Sequence[str], slots: dict[str, int], partitions: int | None = None) -> RDD:
+    """(entity, {slot: (time, order, text)}) of cells whose attribute has a slot: the one combineByKey over them."""
+    spark, size = cells.sparkSession, len(entity)
+    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # time as microseconds, and a row as one array of texts: plain values compare and pickle cheaply
+    micros = F.coalesce(F.unix_micros(F.col("__time").cast("timestamp")), F.lit(-(2**63)))
+    place = F.create_map(*[F.lit(x) for name, slot in slots.items() for x in (name, str(slot))])[F.col("__attr")]
+    order = F.coalesce(F.col("__order").cast("bigint"), F.lit(-(2**63)))
+    slim = cells.select(*[F.col(c).cast("string") for c in entity], place.alias("__s"), micros.alias("__t"), order.alias("__o"), "__text").where(F.col("__s").isNotNull())
+    packed = slim.select(F.array(*entity, "__s", F.col("__t").cast("string"), F.col("__o").cast("string"), "__text"))
+
+    def keyed(row: Row) -> tuple:
+        r = row[0]
+        return tuple(r[:size]), (int(r[size]), int(r[size + 1]), int(r[size + 2]), r[size + 3])
+
+    return packed.rdd.map(keyed).combineByKey(_first, _set, _merge, partitions)
+
+
+def widen_kinds(cells: DataFrame, entity: Sequence[str], kind: str, columns: Mapping[str, Sequence[tuple[str, str]]], partitions: int | None = None) -> dict[str, DataFrame]:
+    """The wide table of each kind of entity (its columns by kind, one of the entity's columns says the kind), from one
+    pass and one shuffle of the cells."""
+    slots = {name: i for i, name in enumerate(dict.fromkeys(n for cs in columns.values() for n, _ in cs))}
+    held = registers(cells, entity, slots, partitions)
+    at = list(entity).index(kind)
+    return {k: _encoded(cells, held.filter(lambda pair, k=k: pair[0][at] == k), entity, cs, slots) for k, cs in columns.items()}
+
+
 def widen(cells: DataFrame, entity: Sequence[str], columns: Sequence[tuple[str, str]], partitions: int | None = None) -> DataFrame:
     """One row per entity with a typed column for each (name, type) of `columns`, from typed_cells().
 
@@ -69,30 +97,21 @@ def widen(cells: DataFrame, entity: Sequence[str], columns: Sequence[tuple[str,
     Repeated rows change nothing. An entity without any readable cell has no row; an empty table gives an empty
     typed table. Column names that clash with the entity's get the prefix `a_`.
     """
-    spark = cells.sparkSession
     slots = {name: i for i, (name, _) in enumerate(columns)}
-    encoders = [ENCODERS[t] for _, t in columns]
-    width, size = len(columns), len(entity)
-    names = [f"a_{n}" if n in entity else n for n, _ in columns]
-    schema = T.StructType([T.StructField(c, cells.schema[c].dataType) for c in entity] + [T.StructField(n, SQL_TYPES[t]) for n, (_, t) in zip(names, columns)])
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return _encoded(cells, registers(cells, entity, slots, partitions), entity, columns, slots)
 
-    # time as microseconds: plain ints compare and pickle cheaply
-    micros = F.coalesce(F.unix_micros(F.col("__time").cast("timestamp")), F.lit(-(2**63)))
-    slim = cells.where(F.col("__attr").isin(list(slots))).select(*entity, F.col("__attr"), micros.alias("__t"), F.col("__order").cast("bigint").alias("__o"), "__text")
 
-    def keyed(row: Row) -> tuple:
-        return tuple(row[:size]), (slots[row[size]], row[size + 1], row[size + 2], row[size + 3])
+def _encoded(cells: DataFrame, held: RDD, entity: Sequence[str], columns: Sequence[tuple[str, str]], slots: dict[str, int]) -> DataFrame:
+    encoders = [(slots[n], ENCODERS[t]) for n, t in columns]
+    names = [f"a_{n}" if n in entity else n for n, _ in columns]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in entity] + [T.StructField(n, SQL_TYPES[t]) for n, (_, t) in zip(names, columns)])
 
     def encode(pair: tuple) -> tuple:
-        key, registers = pair
-        out = [None] * width
-        for slot, value in registers.items():
-            out[slot] = encoders[slot](value[2])
-        return (*key, *out)
-
-    rdd = slim.rdd.map(keyed).combineByKey(_first, _set, _merge, partitions).map(encode)
-    return spark.createDataFrame(rdd, schema, verifySchema=False)
+        key, registers_ = pair
+        return (*key, *[f(registers_[i][2]) if i in registers_ else None for i, f in encoders])
+
+    wide = cells.sparkSession.createDataFrame(held.map(encode), schema, verifySchema=False)
+    return wide.select(*[F.col(c).cast(cells.schema[c].dataType) for c in entity], *names)
 
 
 def cells_of(wide: DataFrame, entity: Sequence[str], columns: Sequence[tuple[str, str]]) -> DataFrame:

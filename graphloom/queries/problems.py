@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import references, shred, skew, spikes, widen
-from ..runtime import distinct_rows, materialize, row_hash, table
+from ..runtime import materialize, row_hash, table
 
 METRICS = ("memory_usage", "load_average", "elapsed_time")
 #: No machine has 64 TB of memory in use (MB), a load of 100,000, or a run of over a year (s); nothing is below zero.
@@ -93,27 +93,22 @@ def _cells(spark: SparkSession, d: str) -> DataFrame:
     return materialize(cells, "cells")
 
 
-def _wide(spark: SparkSession, d: str, kind: str, cells: DataFrame | None = None) -> tuple[DataFrame, list[tuple[str, str]]]:
-    columns = _wide_columns(spark, d, kind)
-    cells = cells if cells is not None else _cells(spark, d)
-    return widen.widen(cells.where(F.col("entity_kind") == kind), CELL_ENTITY, columns), columns
+def _wide(spark: SparkSession, d: str, *kinds: str) -> tuple[dict[str, DataFrame], dict[str, list[tuple[str, str]]]]:
+    columns = {k: _wide_columns(spark, d, k) for k in kinds}
+    return widen.widen_kinds(_cells(spark, d).where(F.col("entity_kind").isin(*kinds)), CELL_ENTITY, "entity_kind", columns), columns
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    cells = _cells(spark, d)
-    parts = []
-    for kind in KINDS:
-        wide, columns = _wide(spark, d, kind, cells)
-        parts.append(widen.cells_of(wide, CELL_ENTITY, columns))
-    return reduce(DataFrame.unionByName, parts)
+    wide, columns = _wide(spark, d, *KINDS)
+    return reduce(DataFrame.unionByName, [widen.cells_of(wide[k], CELL_ENTITY, columns[k]) for k in KINDS])
 
 
 def p4_source_wide(spark: SparkSession, d: str) -> DataFrame:
-    return _wide(spark, d, "source")[0]
+    return _wide(spark, d, "source")[0]["source"]
 
 
 def p4_edge_wide(spark: SparkSession, d: str) -> DataFrame:
-    return _wide(spark, d, "edge")[0]
+    return _wide(spark, d, "edge")[0]["edge"]
 
 
 def _endpoints(spark: SparkSession, d: str) -> DataFrame:
@@ -149,7 +144,7 @@ def _side_totals(spark: SparkSession, d: str) -> DataFrame:
     key = F.concat_ws("\u0001", "side", "vertex_id").alias("__k")
     totals = skew.accumulate(_endpoints(spark, d).select(key, "edge_id"), "__k", mins=["edge_id"], maxs=["edge_id"])
     cut = F.split("__k", "\u0001", 2)
-    return totals.select(cut[0].alias("side"), cut[1].alias("vertex_id"), "n", F.col("min_edge_id").cast("bigint").alias("first_edge"), F.col("max_edge_id").cast("bigint").alias("last_edge"))
+    return totals.select(cut[0].alias("side"), cut[1].alias("vertex_id"), "n", F.col("min_edge_id").alias("first_edge"), F.col("max_edge_id").alias("last_edge"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -167,7 +162,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     ym = F.date_format("loaded_at", "yyyy-MM").alias("period_ym")
 
     def child(name: str, *cols: str) -> DataFrame:
-        return distinct_rows(table(spark, d, name)).select(*cols, "loaded_at")
+        # repeated deliveries give equal cases, which the last step drops: their rows need not be shuffled for it
+        return table(spark, d, name).select(*cols, "loaded_at")
 
     def found(bad: DataFrame, name: str, key) -> DataFrame:
         return bad.select(F.lit(name).alias("child_table"), key.cast("string").alias("row_key"), ym, F.col("__reason").alias("reason"))
@@ -186,7 +182,18 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return p6_found(spark, d).groupBy("child_table", "period_ym", "reason").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p3_found, p3_edges, p4_found, p4_source_wide, p4_edge_wide, p5_found, p5_vertex_counts, p6_found, p6_report)} | {n: _entity_query(*e) for n, e in ENTITIES.items()}
+def p6_composite(spark: SparkSession, d: str) -> DataFrame:
+    """Requests for a graph in so many partitions, by the composite reference (graph_id, partition_count) of graph_sla to
+    graph, which may be null in part: what is no orphan under one match may be one under another."""
+    sla, graph = table(spark, d, "graph_sla").distinct(), table(spark, d, "graph")
+    number = F.regexp_extract("graph_id", r"^\s*(\d{1,18})\s*$", 1)
+    child = sla.select("id", F.when(number != "", number.cast("bigint")).alias("graph"), F.col("partition_count").alias("parts"))
+    keys = [("graph", "idgraph"), ("parts", "centralpartitioncount")]
+    each = [references.orphans(child, graph, keys, "id", m).select("id", F.lit(m).alias("match"), F.col("__reason").alias("reason")) for m in references.MATCHES]
+    return reduce(DataFrame.unionByName, each)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p3_found, p3_edges, p4_found, p4_source_wide, p4_edge_wide, p5_found, p5_vertex_counts, p6_found, p6_report, p6_composite)} | {n: _entity_query(*e) for n, e in ENTITIES.items()}
 
 _P6 = """
 WITH perf AS (SELECT DISTINCT * FROM graph_place_sla_performance), g AS (SELECT DISTINCT * FROM graph),
@@ -212,7 +219,16 @@ i AS (SELECT edge_id, side, trim(json_extract_string(t, '$.id')) AS vertex_id FR
 c AS (SELECT side, vertex_id, count(*) AS n, min(edge_id) AS first_edge, max(edge_id) AS last_edge FROM i WHERE vertex_id <> '' GROUP BY ALL)
 """
 
+_P6C = """
+WITH c AS (SELECT DISTINCT id, CAST(nullif(regexp_extract(graph_id, '^\\s*(\\d{1,18})\\s*$', 1), '') AS BIGINT) AS g, partition_count AS p FROM (SELECT DISTINCT * FROM graph_sla)),
+x AS (SELECT id, g, p, EXISTS (SELECT 1 FROM graph WHERE idgraph = g AND centralpartitioncount = p) AS both_met, EXISTS (SELECT 1 FROM graph WHERE idgraph = g) AS g_met, EXISTS (SELECT 1 FROM graph WHERE centralpartitioncount = p) AS p_met FROM c)
+SELECT id, 'simple' AS match, 'missing' AS reason FROM x WHERE g IS NOT NULL AND p IS NOT NULL AND NOT both_met
+UNION ALL SELECT id, 'partial', 'missing' FROM x WHERE (g IS NOT NULL AND p IS NOT NULL AND NOT both_met) OR (p IS NULL AND g IS NOT NULL AND NOT g_met) OR (g IS NULL AND p IS NOT NULL AND NOT p_met)
+UNION ALL SELECT id, 'full', CASE WHEN g IS NOT NULL AND p IS NOT NULL THEN 'missing' ELSE 'mixed_null' END FROM x WHERE (g IS NULL) <> (p IS NULL) OR (g IS NOT NULL AND p IS NOT NULL AND NOT both_met)
+"""
+
 SQL = {
+    "p6_composite": _P6C,
     "p5_found": _P5 + "SELECT side, vertex_id FROM (SELECT *, sum(n) OVER (PARTITION BY side) AS whole FROM c) WHERE n >= 0.02 * whole",
     "p5_vertex_counts": _P5 + "SELECT side, vertex_id, n, first_edge, last_edge FROM c",
     "p6_found": _P6 + "SELECT DISTINCT child_table, row_key, period_ym, reason FROM x WHERE reason IS NOT NULL",

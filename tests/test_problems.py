@@ -146,6 +146,13 @@ def test_readable_values(spark, kind):
     assert got == VALUES[kind] | {None: None}
 
 
+def test_numbers_are_not_rounded_on_the_way(spark):
+    rows = {"0.0049999996": ("0.00", None), "0.005": ("0.01", None), "-0.005": ("-0.01", None), "3.0000001": ("3.00", None), "3.0000000": ("3.00", "3"), "123456789012345678.994999": ("123456789012345678.99", None), "-1,234.5e1": ("-12345.00", "-12345"), "12e-3": ("0.01", None), "1200e-2": ("12.00", "12"), "5E0": ("5.00", "5"), "1e999": (None, None), "1e-999": ("0.00", None), "9223372036854775807": (None, "9223372036854775807"), "9223372036854775808": (None, None), "-.5e1": ("-5.00", "-5"), ".": (None, None), "-": (None, None), "e5": (None, None), "1,2": (None, None), "0e5": ("0.00", "0"), "'7'": ("7.00", "7"), "''": (None, None), "'": (None, None)}
+    df = spark.createDataFrame([(v,) for v in rows], "v string")
+    got = {r[0]: (r[1], r[2]) for r in df.select("v", readable.canonical_text(F.col("v"), "decimal"), readable.canonical_text(F.col("v"), "long")).collect()}
+    assert got == rows
+
+
 def cells(spark, rows):
     x = spark.createDataFrame(rows, "link_id bigint, entity_kind string, entity_id string, attr string, val string, loaded_at timestamp, __attr2 string")
     types = spark.createDataFrame([("e", "entity_id", "string"), ("e", "birth_year", "long"), ("e", "seen_on", "date")], "entity_kind string, attr string, val_type string")
@@ -167,6 +174,16 @@ def test_widen_latest_readable_value(spark):
     assert widen.widen(cells(spark, []), ["entity_kind", "entity_id"], columns).count() == 0
 
 
+def test_widen_of_several_kinds_is_one_pass(spark):
+    t = datetime.datetime(2024, 1, 1)
+    x = cells(spark, [(1, "e", "1", "birth_year", "5", t, ""), (2, "e", "1", "seen_on", "1999-01-01", t, ""), (3, "e", "2", "birth_year", "6", None, "")])
+    x = x.unionByName(x.withColumn("entity_kind", F.lit("f")))
+    both = widen.widen_kinds(x, ["entity_kind", "entity_id"], "entity_kind", {"e": [("birth_year", "long")], "f": [("seen_on", "date"), ("birth_year", "long")], "g": [("seen_on", "date")]})
+    assert sorted(map(tuple, both["e"].collect())) == [("e", "1", 5), ("e", "2", 6)]
+    assert sorted(map(tuple, both["f"].collect()), key=repr) == [("f", "1", datetime.date(1999, 1, 1), 5), ("f", "2", None, 6)]
+    assert both["g"].count() == 0
+
+
 def test_widen_registers_merge_in_any_order():
     a, b = {0: (1, 1, "x"), 1: (5, 1, "p")}, {0: (2, 0, "y"), 2: (0, 0, "q")}
     want = {0: (2, 0, "y"), 1: (5, 1, "p"), 2: (0, 0, "q")}
@@ -194,6 +211,19 @@ def test_accumulate_equals_group_by(spark):
     assert skew.accumulate(df.limit(0), "key").count() == 0
 
 
+@pytest.mark.parametrize("piece", [7, 1000, skew.PIECE])
+def test_accumulate_keeps_whole_numbers_and_small_pieces(spark, piece):
+    big = 2**53
+    rows = [(f"k{i % 97}" if i % 5 else "hot", big + i, i % 3 or None) for i in range(4000)] + [(None, -big - 1, None)]
+    df = spark.createDataFrame(rows, "key string, id bigint, few int").repartition(3)
+    got = {r["key"]: tuple(r)[1:] for r in skew.accumulate(df, "key", ["few"], ["id"], ["id"], piece).collect()}
+    want = {}
+    for k, i, f in rows:
+        n, fs, ids = want.setdefault(k, (0, [], []))
+        want[k] = (n + 1, fs + [f] if f is not None else fs, ids + [i])
+    assert got == {k: (n, sum(fs) if fs else None, min(ids), max(ids)) for k, (n, fs, ids) in want.items()}
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_salted_join_equals_join(spark, how):
     left = spark.createDataFrame([(i, None if i % 11 == 0 else 1 if i % 2 else i % 7) for i in range(400)], "id int, k int")
