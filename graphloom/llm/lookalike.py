@@ -192,6 +192,9 @@ class Trie:
         return cost, word
 
 
+BLANK = "".join(f"\\x{{{ord(c):x}}}" for c in SPACES) + r"\n"
+
+
 def tokens(text: Column) -> Column:
     """Line ends, runs of space, single characters of scripts without spaces with the marks on them, and the runs
     between them. Their concatenation is the text. The pattern's first branch takes the letters of most alphabets by
@@ -258,7 +261,7 @@ def _texts(made: DataFrame, doc_id: str, columns: str, out) -> DataFrame:
 def normalized(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, text): every text in its canonical spelling. A null text gives an empty one; repeated rows repeat;
     other columns are ignored; an empty table gives no rows."""
-    made = blocks.build(docs.select(F.col(doc_id), tokens(F.col(text))), "tokens")
+    made = blocks.build(docs, doc_id, text, BLANK, tokens, "tokens")
 
     def out(ids: pa.Array, texts: list[str]) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(texts), 2000):
@@ -279,7 +282,7 @@ def look_alike_pairs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     result is defined to list them. Null and empty texts are in no pair; doc_id is unique.
     """
     some = docs.where(F.col(text).isNotNull() & (F.col(text) != "")).select(doc_id, text)
-    made = blocks.build(some.select(F.col(doc_id), tokens(F.col(text))), "tokens")
+    made = blocks.build(some, doc_id, text, BLANK, tokens, "tokens")
 
     def out(ids: pa.Array, texts: list[str]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids, pa.array([_digest(t) for t in texts], pa.binary())], [doc_id, "look"])

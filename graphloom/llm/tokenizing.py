@@ -26,10 +26,16 @@ SPACE = r"\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 
+# A stretch from white space to white space with a character that Java's Unicode tables do not know.
+UNKNOWN = rf"[{SPACE}]*+[^{SPACE}\p{{Cn}}]*+\p{{Cn}}[^{SPACE}]*+"
+
+
 def split_words(text: Column) -> Column:
-    """The tokenizer's words of a text in order; their concatenation is the text. Texts with characters that Java's
-    Unicode tables do not know stay whole: the tokenizer splits those itself. Null gives null, empty an empty array."""
-    return F.when(text.rlike(r"\p{Cn}"), F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    """The tokenizer's words of a text in order; their concatenation is the text. A stretch between white space with
+    characters that Java's Unicode tables do not know stays in one piece, with the white space before it: the tokenizer
+    splits those itself, and no word of it crosses their ends. Null gives null, empty an empty array."""
+    both = F.regexp_extract_all(text, F.lit(f"{UNKNOWN}|{PATTERN}"), F.lit(0))
+    return F.when(text.rlike(r"\p{Cn}"), both).otherwise(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
 
 
 def encode_words(words: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -52,7 +58,7 @@ def encode_words(words: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 def encode(docs: DataFrame, doc_id: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, ids array<int>) of every row: an empty list for an empty or null text. Rows that repeat repeat in the
     result; other columns are ignored; an empty table gives no rows. Texts are processed whole."""
-    made = blocks.build(docs.select(F.col(doc_id), split_words(F.col(text))), "tokens")
+    made = blocks.build(docs, doc_id, text, SPACE, split_words, "tokens")
     coded = materialize(encode_words(blocks.distinct_words(made), vocabulary), "words")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
