@@ -1,14 +1,19 @@
 """Texts that look the same but differ in their characters, brought to one spelling.
 
-Two tables say what looks the same: `expand()` writes a text in units, where a unit stands for all its look-alikes
-(compatibility widths, ligatures, composed and combining accents, letters of other alphabets), and drops what is
-invisible. Raised and lowered figures, accents, case and digits stay different.
+What looks the same is said by tables: a unit stands for all its look-alikes (compatibility widths, ligatures, composed
+and combining accents, letters of other alphabets), and invisible characters have none. Raised and lowered figures,
+accents, case and digits stay different; so do letters in a style that one can see, such as bold mathematical ones.
 
 The corpus' own vocabulary decides the spelling: its distinct clean tokens (one alphabet, nothing invisible, composed)
-stand in tries, sharded by the hash of their units. A token runs through its shard's trie by a weighted edit automaton
-in which look-alikes and ignorables cost nothing; of the spellings reached at no cost the most frequent is its
-canonical spelling (ties: the smaller string). A token that reaches none is written by the table. So tokens that look
+stand in tries. A token as it is written runs through a trie by a weighted edit automaton: an edge is passed at no cost
+by every character that looks like the edge's, an ignorable stays where it is, a ligature passes several edges, an
+accent is an edge of its own whether it was composed or not; other edits cost what their weights say and are taken
+within a budget, which is zero where texts must look the same. Of the spellings reached at the least cost the most
+frequent is canonical (ties: the smaller string). A token that reaches none is written by the table. So tokens that look
 the same get the same spelling, and a Russian word stays Cyrillic while a Latin word with Cyrillic letters turns Latin.
+
+Tries are sharded by what must survive the edits: a spelling is cut into one part more than the budget has edits, so one
+part at least is met unchanged. Without a budget that part is the whole look.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,14 +29,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..runtime import materialize
+from ..runtime import materialize, salted_join
 from . import blocks
 
 # Letters of other alphabets that look like Latin letters, each row beside the Latin ones.
 LOOKALIKES = (
-    ("Cyrillic", "аеорсухѕіјһԁԛԝԚԜАВЕЅІЈКМНОРСТУХҮ", "aeopcyxsijhdqwQWABESIJKMHOPCTYXY"),
+    ("Cyrillic", "аеорсухѕіјһԁԛԝԚԜАВЕЅІЈКМНОРСТУХҮѵѴӏӀ", "aeopcyxsijhdqwQWABESIJKMHOPCTYXYvVlI"),
     ("Greek", "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEZHIKMNOPTYXo"),
     ("Greek lunate", "ϲϹϳ", "cCj"),
+    ("Armenian", "օսհոցՍՏԼՕ", "ouhngUSLO"),
+    ("Cherokee", "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHYGZVSLCPKB"),
     ("Latin", "ɡ", "g"),
 )
 # Other characters that look like the usual one.
@@ -42,9 +50,10 @@ SPACES = "\t\u000b\u000c\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u200
 
 
 def _width_table() -> dict[int, str]:
-    """Half-width, full-width and ligature forms, by the rule of their compatibility decomposition."""
+    """Half-width, full-width and ligature forms, Roman numerals and signs of degrees, by the rule of their compatibility
+    decomposition."""
     table = {}
-    for first, last in ((0xFB00, 0xFB06), (0xFF01, 0xFF9F), (0xFFA0, 0xFFDC), (0xFFE0, 0xFFEE)):
+    for first, last in ((0x2103, 0x2103), (0x2109, 0x2109), (0x2160, 0x217F), (0xFB00, 0xFB06), (0xFF01, 0xFF9F), (0xFFA0, 0xFFDC), (0xFFE0, 0xFFEE)):
         for o in range(first, last + 1):
             plain = unicodedata.normalize("NFKC", chr(o))
             if plain != chr(o):
@@ -115,8 +124,9 @@ def ambiguous(token: str) -> bool:
     return all(not u.isalpha() or u in SHARED for u in unicodedata.normalize("NFD", expand(token)))
 
 
-def spell(counts: dict[str, int]) -> dict[str, str]:
-    """Canonical spelling of each token that is not spelled so itself; counts must hold all look-alikes of a token."""
+def hits(counts: dict[str, int], budget: float = 0.0) -> dict[str, tuple[float, int, str]]:
+    """(cost, -occurrences, spelling) of each token that is not sure to be its own spelling; of those without a free
+    one in the trie, only what is within the budget. counts must hold what a token may reach."""
     trie, ask = Trie(), []
     for w, n in counts.items():
         if w == "" or w.isspace():
@@ -126,70 +136,120 @@ def spell(counts: dict[str, int]) -> dict[str, str]:
             if not ambiguous(w):
                 continue
         ask.append(w)
-    out = {}
-    for w in ask:
-        hit = trie.canonical(w)
-        to = hit[1] if hit else expand(w)
-        if to != w:
-            out[w] = to
+    found = ((w, trie.hit(w, budget)) for w in ask)
+    return {w: hit for w, hit in found if hit}
+
+
+def tabled(token: str) -> str:
+    """The spelling of a token that reaches none in the tries."""
+    return token if token == "" or token.isspace() or clean(token) else expand(token)
+
+
+def spell(counts: dict[str, int], budget: float = 0.0) -> dict[str, str]:
+    """Canonical spelling of each token that is not spelled so itself; counts must hold all look-alikes of a token."""
+    found = hits(counts, budget)
+    out = {w: found[w][2] if w in found else tabled(w) for w in counts}
+    return {w: to for w, to in out.items() if to != w}
+
+
+_UNITS: dict[str, str] = {}
+
+
+def units(c: str) -> str:
+    """What one character looks like, decomposed: nothing for an ignorable, several units for a ligature."""
+    u = _UNITS.get(c)
+    if u is None:
+        u = _UNITS[c] = unicodedata.normalize("NFD", expand(c))
+    return u
+
+
+def decomposed(token: str) -> str:
+    """A token with accents of their own, in their canonical order, which an ignorable between accents would hide."""
+    out = unicodedata.normalize("NFD", token)
+    if not out.isascii() and any(ord(c) in DROP for c in out) and any(unicodedata.combining(c) for c in out):
+        out = unicodedata.normalize("NFD", out.translate(DROP))
     return out
 
 
 class Trie:
-    """Clean spellings with their counts. Edges hold characters; an edge's unit is what it looks like."""
+    """Clean spellings with their counts. Edges hold decomposed characters, by what they look like."""
 
     def __init__(self) -> None:
-        self.edges: list[dict[str, int]] = [{}]
-        self.units: list[dict[str, list[str]]] = [{}]
+        self.edges: list[dict[str, dict[str, int]]] = [{}]
         self.word: list[tuple[int, str] | None] = [None]
 
     def add(self, word: str, count: int) -> None:
         at = 0
-        for c in word:
-            to = self.edges[at].get(c)
+        for c in decomposed(word):
+            alike = self.edges[at].setdefault(units(c), {})
+            to = alike.get(c)
             if to is None:
-                to = len(self.edges)
+                to = alike[c] = len(self.edges)
                 self.edges.append({})
-                self.units.append({})
                 self.word.append(None)
-                self.edges[at][c] = to
-                self.units[at].setdefault(expand(c), []).append(c)
             at = to
         self.word[at] = (count, word)
 
-    def canonical(self, token: str, budget: float = 0.0, substitute: float = 1.0, insert: float = 1.0, delete: float = 1.0) -> tuple[float, str] | None:
-        """The cheapest spelling within budget, then the most frequent, then the smallest; None if there is none.
-        Look-alike characters and ignorables cost nothing; other edits cost what the weights say."""
+    def canonical(self, token: str, budget: float = 0.0) -> tuple[float, str] | None:
+        """(cost, spelling) of hit()."""
+        found = self.hit(token, budget)
+        return found and (found[0], found[2])
+
+    def hit(self, token: str, budget: float = 0.0, substitute: float = 1.0, insert: float = 1.0, delete: float = 1.0) -> tuple[float, int, str] | None:
+        """(cost, -occurrences, spelling): the cheapest spelling within budget, then the most frequent, then the
+        smallest; None if there is none. A step of the automaton takes one character of the token as it is written:
+        edges that look like it are free, an ignorable leaves the states as they are, other edits cost their weights."""
         states = {0: 0.0}
-        for u in expand(token):
-            after: dict[int, float] = {}
-            for at, cost in states.items():
-                for c in self.units[at].get(u, ()):
-                    to = self.edges[at][c]
-                    after[to] = min(after.get(to, cost), cost)
-                if cost + min(substitute, insert, delete) <= budget:
-                    if cost + delete <= budget:
-                        after[at] = min(after.get(at, cost + delete), cost + delete)
-                    if cost + substitute <= budget:
-                        for to in self.edges[at].values():
-                            after[to] = min(after.get(to, cost + substitute), cost + substitute)
-            if budget >= insert:
-                todo = list(after)
-                while todo:
-                    at = todo.pop()
-                    if after[at] + insert <= budget:
-                        for to in self.edges[at].values():
-                            if after[at] + insert < after.get(to, budget + 1):
-                                after[to] = after[at] + insert
-                                todo.append(to)
-            states = after
-            if not states:
-                return None
+        for c in decomposed(token):
+            for u in units(c):
+                states = self._step(states, u, budget, substitute, insert, delete)
+                if not states:
+                    return None
         ends = [(cost, -self.word[at][0], self.word[at][1]) for at, cost in states.items() if self.word[at]]
-        if not ends:
-            return None
-        cost, _, word = min(ends)
-        return cost, word
+        return min(ends) if ends else None
+
+    def _step(self, states: dict[int, float], u: str, budget: float, substitute: float, insert: float, delete: float) -> dict[int, float]:
+        after: dict[int, float] = {}
+        for at, cost in states.items():
+            for to in self.edges[at].get(u, {}).values():
+                after[to] = min(after.get(to, cost), cost)
+            if cost + delete <= budget:
+                after[at] = min(after.get(at, cost + delete), cost + delete)
+            if cost + substitute <= budget:
+                for alike in self.edges[at].values():
+                    for to in alike.values():
+                        after[to] = min(after.get(to, cost + substitute), cost + substitute)
+        todo = list(after) if insert <= budget else []
+        while todo:
+            at = todo.pop()
+            if after[at] + insert <= budget:
+                for alike in self.edges[at].values():
+                    for to in alike.values():
+                        if after[at] + insert < after.get(to, budget + 1):
+                            after[to] = after[at] + insert
+                            todo.append(to)
+        return after
+
+
+def parts(look: str, edits: int) -> list[tuple[int, int, str]]:
+    """A spelling's look as edits + 1 parts of about equal length: (length of the look, number, part)."""
+    n, k = len(look), edits + 1
+    ends = [n * i // k for i in range(k + 1)]
+    return [(n, i, look[ends[i] : ends[i + 1]]) for i in range(k)]
+
+
+def reachable(look: str, edits: int) -> set[tuple[int, int, str]]:
+    """The parts of all looks within `edits` edits of this one that it may hold unchanged."""
+    out = set()
+    for n in range(max(0, len(look) - edits), len(look) + edits + 1):
+        k = edits + 1
+        ends = [n * i // k for i in range(k + 1)]
+        for i in range(k):
+            for at in range(max(0, ends[i] - edits), ends[i] + edits + 1):
+                part = look[at : at + ends[i + 1] - ends[i]]
+                if len(part) == ends[i + 1] - ends[i]:
+                    out.add((n, i, part))
+    return out
 
 
 BLANK = "".join(f"\\x{{{ord(c):x}}}" for c in SPACES) + r"\n"
@@ -209,31 +269,62 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"{plain}{other}*+|{other}++|[{space}]++|\n|[{wide}][{mark}]*+"), F.lit(0))
 
 
-def spellings(words: DataFrame, shards: int | None = None) -> DataFrame:
-    """(word, result): canonical spelling of those words of (word, n) that are not spelled so themselves.
+#: Distinct tokens of one shard, about.
+SHARD = 50_000
 
-    words holds each distinct token once. Shards are by the hash of a token's units, so look-alikes meet and no shard
-    holds more than its share of distinct tokens, however frequent they are.
+
+def spellings(words: DataFrame, budget: float = 0.0, shard: int = SHARD) -> DataFrame:
+    """(word, result): canonical spelling of those words of (word, n) that are not spelled so themselves. budget: what
+    the edits of a token that looks like no clean one may cost; at 0 only look-alikes share a spelling.
+
+    words holds each distinct token once and is written out, so that the shards come from its counted rows: about
+    `shard` tokens each, however large the vocabulary and however frequent its tokens. Only tokens that may be spelled
+    otherwise go to more shards than one, and only with a budget.
     """
-    shards = shards or int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
+    edits = int(budget)  # no edit costs less than 1
+    words = materialize(words.select("word", "n"), "words")
+    shards = max(1, -(-words.count() // shard))
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words_ = b.column(0).to_pylist()
-            shard = [int.from_bytes(hashlib.blake2b(expand(w).encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % shards for w in words_]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shard, pa.int32())], ["word", "n", "shard"])
+            at, to = [], []
+            for i, w in enumerate(b.column(0).to_pylist()):
+                look = unicodedata.normalize("NFD", expand(w))
+                keys = set(parts(look, edits))
+                if edits and not clean(w):
+                    keys |= reachable(look, edits)
+                mine = {zlib.crc32(f"{n} {i} {p}".encode("utf-8", "surrogatepass")) % shards for n, i, p in keys}
+                at += [i] * len(mine)
+                to += mine
+            rows = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(to, pa.int32())], ["word", "n", "shard"])
 
     def settle_shard(t: pa.Table) -> pa.Table:
-        found = spell(dict(zip(t.column("word").to_pylist(), t.column("n").to_pylist())))
-        return pa.table({"word": pa.array(list(found), pa.string()), "result": pa.array(list(found.values()), pa.string())})
-
-    sharded = words.select("word", "n").mapInArrow(key, "word string, n bigint, shard int")
-    return sharded.groupBy("shard").applyInArrow(settle_shard, "word string, result string")
+        found = hits(dict(zip(t.column("word").to_pylist(), t.column("n").to_pylist())), budget)
+        best = list(found.values())
+        return pa.table({"word": pa.array(list(found), pa.string()), "cost": pa.array([h[0] for h in best], pa.float64()), "less": pa.array([h[1] for h in best], pa.int64()), "result": pa.array([h[2] for h in best], pa.string())})
 
-
-def _texts(made: DataFrame, doc_id: str, columns: str, out) -> DataFrame:
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for w, hit in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                to = hit or tabled(w)
+                if to != w:
+                    out.append((w, to))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], ["word", "result"])
+
+    sharded = words.mapInArrow(key, "word string, n bigint, shard int")
+    reached = sharded.groupBy("shard").applyInArrow(settle_shard, "word string, cost double, less bigint, result string")
+    if edits:  # a token's shards may each have found a spelling
+        reached = reached.groupBy("word").agg(F.min(F.struct("cost", "less", "result")).alias("best")).select("word", "best.result")
+    # ASCII tokens are their own spelling, unless a look-alike of another alphabet is the canonical one
+    asked = words.select("word").join(reached.select("word", "result"), "word", "left").where(F.col("result").isNotNull() | F.col("word").rlike(r"[^\x00-\x7f]"))
+    return asked.mapInArrow(written, "word string, result string")
+
+
+def _texts(made: DataFrame, doc_id: str, columns: str, out, budget: float = 0.0) -> DataFrame:
     """Rows of out(doc ids, canonical texts) for every block, after the spellings are back at their positions."""
-    attached = blocks.attach(made, materialize(spellings(blocks.distinct_words(made)), "spellings"), keep_words=True)
+    attached = blocks.attach(made, materialize(spellings(blocks.distinct_words(made), budget), "spellings"), keep_words=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spaces = re.compile(" +")
@@ -258,8 +349,10 @@ def _texts(made: DataFrame, doc_id: str, columns: str, out) -> DataFrame:
     return attached.select("words", "docs", "sizes", "codes", "found").mapInArrow(run, columns.replace("DOC", f"`{doc_id}`"))
 
 
-def normalized(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, text): every text in its canonical spelling. A null text gives an empty one; repeated rows repeat;
+def normalized(docs: DataFrame, doc_id: str, text: str, budget: float = 0.0) -> DataFrame:
+    """(doc_id, text): every text in its canonical spelling. budget: see spellings(); above 0, tokens with characters
+    of several alphabets or invisible ones that look like no clean token also take the spelling of the nearest one, so
+    texts that look slightly different may become equal. A null text gives an empty one; repeated rows repeat;
     other columns are ignored; an empty table gives no rows."""
     made = blocks.build(docs, doc_id, text, BLANK, tokens, "tokens")
 
@@ -267,7 +360,7 @@ def normalized(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         for at in range(0, len(texts), 2000):
             yield pa.RecordBatch.from_arrays([ids.slice(at, 2000), pa.array(texts[at : at + 2000], pa.string())], [doc_id, "text"])
 
-    return _texts(made, doc_id, "DOC long, text string", out)
+    return _texts(made, doc_id, "DOC long, text string", out, budget)
 
 
 def _digest(text: str) -> bytes:
@@ -277,9 +370,10 @@ def _digest(text: str) -> bytes:
 def look_alike_pairs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id_a, doc_id_b), a < b: rows whose non-empty texts look the same but are not equal as strings.
 
-    Texts meet by the 128-bit digest of their canonical spelling. Groups with a single string are dropped before the
-    join, so copies of one string meet nothing; a pair comes out for each two rows of different strings, as the
-    result is defined to list them. Null and empty texts are in no pair; doc_id is unique.
+    Texts meet by the 128-bit digest of their canonical spelling. Strings are paired before rows are: a look with a
+    single string is dropped, the pairs of different strings of a look come from its distinct strings, and only these
+    are expanded to the rows that hold them. So copies meet nothing, a group of a million copies and one variant costs
+    a million rows, and a string that many rows hold is salted. Null and empty texts are in no pair; doc_id is unique.
     """
     some = docs.where(F.col(text).isNotNull() & (F.col(text) != "")).select(doc_id, text)
     made = blocks.build(some, doc_id, text, BLANK, tokens, "tokens")
@@ -289,11 +383,13 @@ def look_alike_pairs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     looks = _texts(made, doc_id, "DOC long, look binary", out)
     exact = some.select(doc_id, F.unhex(F.md5(text)).alias("exact"))
-    both = materialize(looks.join(exact, doc_id), "looks")
+    both = materialize(looks.join(exact, doc_id).withColumnRenamed(doc_id, "doc"), "looks")
     strings = both.groupBy("look", "exact").agg(F.count("*").alias("n"))
     mixed = strings.groupBy("look").agg(F.count("*").alias("strings")).where(F.col("strings") > 1).select("look")
-    left = both.join(mixed, "look", "left_semi")
-    a = left.select("look", F.col(doc_id).alias("doc_id_a"), F.col("exact").alias("ea"))
-    b = left.select("look", F.col(doc_id).alias("doc_id_b"), F.col("exact").alias("eb"))
-    pairs = a.join(b, "look").where((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("ea") != F.col("eb")))
-    return pairs.select("doc_id_a", "doc_id_b")
+    held = materialize(both.join(mixed, "look", "left_semi"), "mixed")
+    each = held.select("look", "exact").distinct()
+    pairs = each.join(each.select("look", F.col("exact").alias("other")), "look").where(F.col("exact") < F.col("other")).select("exact", "other")
+    rows = held.select("exact", "doc")
+    first = salted_join(rows, pairs, "exact", "inner", F.col("doc")).select(F.col("doc").alias("a"), F.col("other").alias("exact"))
+    found = salted_join(rows, first, "exact", "inner", F.col("doc"))
+    return found.select(F.least("a", "doc").alias("doc_id_a"), F.greatest("a", "doc").alias("doc_id_b"))
