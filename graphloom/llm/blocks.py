@@ -36,8 +36,8 @@ def pieces(text: Column, space: str) -> Column:
 
 
 def build(docs: DataFrame, doc_id: str, text: str, space: str, split: Callable[[Column], Column], label: str) -> DataFrame:
-    """Blocks of the texts' words, `split` being the splitter of a piece, written to the shared folder. A null text
-    counts as empty; null words are left out; a null id is kept. No shuffle."""
+    """Blocks of the texts' words, `split` being the splitter of a piece into words (none null), written to the shared
+    folder. A null text counts as empty; a null id is kept. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -88,8 +88,7 @@ def build(docs: DataFrame, doc_id: str, text: str, space: str, split: Callable[[
             yield block()
 
     each = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.posexplode(pieces(F.col(text), space)).alias("piece", "text"))
-    words = split(F.col("text"))
-    return materialize(each.select("id", "piece", F.filter(words, lambda w: w.isNotNull())).mapInArrow(run, SCHEMA), label)
+    return materialize(each.select("id", "piece", split(F.col("text"))).mapInArrow(run, SCHEMA), label)
 
 
 def distinct_words(blocks: DataFrame) -> DataFrame:
