@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import datetime
 import decimal
-from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark import RDD
 from pyspark.sql import DataFrame, Row, functions as F, types as T
 
-from ..functions.readable import READERS, canonical_text, name_key
+from ..functions.readable import name_key, with_text
 
 SQL_TYPES = {"long": T.LongType(), "decimal": T.DecimalType(20, 2), "boolean": T.BooleanType(), "date": T.DateType(), "string": T.StringType()}
 ENCODERS: dict[str, Callable[[str], object]] = {
@@ -56,29 +56,36 @@ def typed_cells(rows: DataFrame, attributes: DataFrame, entity: Sequence[str], a
     known = attributes.select(F.col(kind).alias("__kind"), name_key(F.col(attr)).alias("__name"), F.col(attr).alias("__attr"), F.col("val_type").alias("__type"))
     x = rows.select(*[F.col(c) for c in entity], F.col(kind).alias("__kind0"), name_key(F.col(attr)).alias("__name0"), F.col(val).alias("__val"), F.col(time).alias("__time"), F.col(order).alias("__order"))
     x = x.join(known, (F.col("__kind0") == F.col("__kind")) & (F.col("__name0") == F.col("__name")))
-    text = reduce(lambda acc, t: F.when(F.col("__type") == t, canonical_text(F.col("__val"), t)).otherwise(acc), READERS, F.lit(None).cast("string"))
     ok = F.col("__text").isNotNull()
     for c in entity:
         ok = ok & F.col(c).isNotNull()
-    return x.withColumn("__text", text).where(ok).select(*entity, "__attr", "__type", "__time", "__order", "__text")
+    return with_text(x, "__val", F.col("__type"), "__text").where(ok).select(*entity, "__attr", "__type", "__time", "__order", "__text")
 
 
 def registers(cells: DataFrame, entity: Sequence[str], slots: dict[str, int], partitions: int | None = None) -> RDD:
     """(entity, {slot: (time, order, text)}) of cells whose attribute has a slot: the one combineByKey over them."""
     spark, size = cells.sparkSession, len(entity)
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # time as microseconds, and a row as one array of texts: plain values compare and pickle cheaply
-    micros = F.coalesce(F.unix_micros(F.col("__time").cast("timestamp")), F.lit(-(2**63)))
-    place = F.create_map(*[F.lit(x) for name, slot in slots.items() for x in (name, str(slot))])[F.col("__attr")]
+    micros = F.coalesce(F.unix_micros(F.col("__time").cast("timestamp")), F.lit(-(2**63)))  # plain ints compare and pickle cheaply
+    place = F.create_map(*[F.lit(x) for name, slot in slots.items() for x in (name, slot)])[F.col("__attr")]
     order = F.coalesce(F.col("__order").cast("bigint"), F.lit(-(2**63)))
     slim = cells.select(*[F.col(c).cast("string") for c in entity], place.alias("__s"), micros.alias("__t"), order.alias("__o"), "__text").where(F.col("__s").isNotNull())
-    packed = slim.select(F.array(*entity, "__s", F.col("__t").cast("string"), F.col("__o").cast("string"), "__text"))
 
-    def keyed(row: Row) -> tuple:
-        r = row[0]
-        return tuple(r[:size]), (int(r[size]), int(r[size + 1]), int(r[size + 2]), r[size + 3])
-
-    return packed.rdd.map(keyed).combineByKey(_first, _set, _merge, partitions)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema) as out:
+                    out.write_batch(b)
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["packed"])
+
+    def keyed(row: Row) -> Iterator[tuple]:
+        b = pa.ipc.open_stream(row[0]).read_next_batch()
+        columns = [c.to_pylist() for c in b.columns]
+        return zip(zip(*columns[:size]), zip(*columns[size:]))
+
+    # rows reach Python as Arrow batches and not one by one
+    return slim.mapInArrow(pack, "packed binary").rdd.flatMap(keyed).combineByKey(_first, _set, _merge, partitions)
 
 
 def widen_kinds(cells: DataFrame, entity: Sequence[str], kind: str, columns: Mapping[str, Sequence[tuple[str, str]]], partitions: int | None = None) -> dict[str, DataFrame]:
