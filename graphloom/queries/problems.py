@@ -29,6 +29,11 @@ def p1_scores(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).withColumnRenamed("source", "place_id")
 
 
+def p1_runs(spark: SparkSession, d: str) -> DataFrame:
+    """What the rules alone say of every reading: its run of equal values, whether it is stuck or impossible."""
+    return p1_scores(spark, d).select("id", "metric", "value", "run_length", "stuck", "impossible")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return shred.elements(table(spark, d, "edge"), "edge_id", shred.EDGE_ARRAYS)
 
@@ -193,7 +198,7 @@ def p6_composite(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, each)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p3_found, p3_edges, p4_found, p4_source_wide, p4_edge_wide, p5_found, p5_vertex_counts, p6_found, p6_report, p6_composite)} | {n: _entity_query(*e) for n, e in ENTITIES.items()}
+QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p1_runs, p3_found, p3_edges, p4_found, p4_source_wide, p4_edge_wide, p5_found, p5_vertex_counts, p6_found, p6_report, p6_composite)} | {n: _entity_query(*e) for n, e in ENTITIES.items()}
 
 _P6 = """
 WITH perf AS (SELECT DISTINCT * FROM graph_place_sla_performance), g AS (SELECT DISTINCT * FROM graph),
@@ -227,7 +232,18 @@ UNION ALL SELECT id, 'partial', 'missing' FROM x WHERE (g IS NOT NULL AND p IS N
 UNION ALL SELECT id, 'full', CASE WHEN g IS NOT NULL AND p IS NOT NULL THEN 'missing' ELSE 'mixed_null' END FROM x WHERE (g IS NULL) <> (p IS NULL) OR (g IS NOT NULL AND p IS NOT NULL AND NOT both_met)
 """
 
+_P1 = """
+WITH r AS (SELECT DISTINCT * FROM graph_place_sla_performance WHERE place_id IS NOT NULL AND id IS NOT NULL),
+m AS (SELECT id, place_id, 'memory_usage' AS metric, memory_usage AS value, 67108864.0 AS most FROM r UNION ALL SELECT id, place_id, 'load_average', load_average, 100000.0 FROM r
+  UNION ALL SELECT id, place_id, 'elapsed_time', CAST(elapsed_time AS DOUBLE), 31622400.0 FROM r),
+t AS (SELECT *, CASE WHEN lag(value) OVER w = value THEN 0 ELSE 1 END AS turn FROM m WHERE value IS NOT NULL AND NOT isnan(value) WINDOW w AS (PARTITION BY place_id, metric ORDER BY id)),
+c AS (SELECT *, sum(turn) OVER (PARTITION BY place_id, metric ORDER BY id) AS chain FROM t)
+SELECT id, metric, value, CAST(count(*) OVER (PARTITION BY place_id, metric, chain) AS BIGINT) AS run_length,
+  count(*) OVER (PARTITION BY place_id, metric, chain) >= 5 AS stuck, value < 0 OR value > most AS impossible FROM c
+"""
+
 SQL = {
+    "p1_runs": _P1,
     "p6_composite": _P6C,
     "p5_found": _P5 + "SELECT side, vertex_id FROM (SELECT *, sum(n) OVER (PARTITION BY side) AS whole FROM c) WHERE n >= 0.02 * whole",
     "p5_vertex_counts": _P5 + "SELECT side, vertex_id, n, first_edge, last_edge FROM c",

@@ -79,6 +79,41 @@ def test_isolation_forest_scores_far_points_higher():
     assert far > 0.7 > np.median(spikes.anomaly_score(f, p))
 
 
+def seasonal(n=3000):
+    """A place whose first reading of each run of 12 is usually twenty spreads high, with two such elsewhere."""
+    rng = random.Random(9)
+    rows = [[i, i // 12, 1, rng.uniform(96, 104) + (80 if i % 12 == 0 else 0), "x"] for i in range(24, n)]
+    rows[505][3] = rows[1711][3] = 181.0
+    return rows, {rows[505][0], rows[1711][0]}
+
+
+def test_the_forest_decides_and_not_the_distance(spark, monkeypatch):
+    import numpy as np
+
+    rows, odd = seasonal()
+    got = spikes.score_readings(readings(spark, rows), "place", "run", ["m"], RULES).collect()
+    assert {r["id"] for r in got if r["isolated"]} == odd
+    assert len([r for r in got if abs(r["distance"]) >= RULES.far]) > 200  # the season's, which distance alone would flag
+    model = spikes.fitted(np.array([r[3] for r in rows]), np.full(len(rows), np.nan), np.zeros(len(rows), np.int64), np.ones(len(rows)), np.linspace(95, 105, 99), np.full(32, np.nan), RULES, 1)
+    args = (np.array([100.0, 109.5, 125.0]), np.full(3, np.nan), np.zeros(3, np.int64), np.ones(3), RULES)
+    assert spikes.judged(model, *args)[2].tolist() == [False, False, True]
+    flat = model | {"threshold": np.zeros_like(model["threshold"])}  # as if the forest had no say
+    assert spikes.judged(flat, *args)[2].tolist() != spikes.judged(model, *args)[2].tolist()
+
+
+@pytest.mark.parametrize("block,broadcast", [(64, 0), (64, 1 << 20), (500, 1 << 20)])
+def test_results_do_not_depend_on_partitions_or_plan(spark, block, broadcast):
+    rng = random.Random(12)
+    rows = two_places() + [[i, i // 20, rng.choice([1, 3, None]), rng.choice([5.0, 5.0, None, float("nan"), rng.gauss(0, 1)]), "x"] for i in range(700, 1500)]
+    for i in range(900, 1100):
+        rows[i][2:4] = [3, 7.0]
+    rules = {"limits": {}, "sample": 512, "trees": 16, "psi": 64}
+    a = spikes.score_readings(readings(spark, rows), "place", "run", ["m"], spikes.Rules(**rules)).collect()
+    b = spikes.score_readings(readings(spark, rows + rows[::3]), "place", "run", ["m"], spikes.Rules(block=block, broadcast=broadcast, **rules)).collect()
+    assert sorted(map(repr, a)) == sorted(map(repr, b)) and len(a) == len({r[0] for r in rows if r[2] is not None and r[3] is not None and r[3] == r[3]})
+    assert max(r["run_length"] for r in a) >= 200
+
+
 # --- nested records
 
 DOC = {"id": 7, "properties": {"name": "n", "contacts": [{"kind": "a"}, None, {"kind": "b"}], "affiliations": {"org": {"sites": "[{\"city\": \"x\"}]"}, "roles": [{"title": "t"}, "{\"title\": \"u\"}", 5]}}}
