@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -48,10 +48,12 @@ def _choose(scores: list[float]) -> int:
     return max(range(len(scores)), key=lambda i: (scores[i], -i))
 
 
-def stream_place(edges: Iterable[tuple[int, int]], n: int, method: str, vertices: int, total_edges: int, gamma: float = 1.5) -> dict[int, int]:
+def stream_place(edges: Iterable[tuple[int, int]], n: int, method: str, vertices: int, total_edges: int, gamma: float = 1.5, owned: Callable[[int], bool] = lambda _: True) -> dict[int, int]:
     """Placement of a stream of edges in its order, each new vertex by its neighbours placed so far: LDG weighs them
-    by what room a partition has left, FENNEL subtracts the marginal cost of the partition's size. Ties: the lower
-    number."""
+    by what room a partition has left and goes where there is room, FENNEL subtracts the marginal cost of the
+    partition's size. Ties: the lower number. Only vertices that are `owned` are placed."""
+    if method not in ("LDG", "FENNEL"):
+        raise ValueError(f"no stream partitioner {method}")
     place: dict[int, int] = {}
     seen: dict[int, list[int]] = defaultdict(lambda: [0] * n)
     size = [0] * n
@@ -59,6 +61,8 @@ def stream_place(edges: Iterable[tuple[int, int]], n: int, method: str, vertices
     a = total_edges * n ** (gamma - 1) / max(1, vertices) ** gamma
     for u, v in edges:
         for x, y in ((u, v), (v, u)):
+            if not owned(x):
+                continue
             near = seen[x]
             if y in place:
                 near[place[y]] += 1
@@ -66,10 +70,8 @@ def stream_place(edges: Iterable[tuple[int, int]], n: int, method: str, vertices
                 continue
             if method == "LDG":
                 scores = [max(1, near[i]) * (1 - size[i] / room) for i in range(n)]
-            elif method == "FENNEL":
-                scores = [near[i] - a * ((size[i] + 1) ** gamma - size[i] ** gamma) for i in range(n)]
             else:
-                raise ValueError(f"no stream partitioner {method}")
+                scores = [near[i] - a * ((size[i] + 1) ** gamma - size[i] ** gamma) for i in range(n)]
             place[x] = _choose(scores)
             size[place[x]] += 1
     return place
@@ -77,18 +79,23 @@ def stream_place(edges: Iterable[tuple[int, int]], n: int, method: str, vertices
 
 def stream_partition(graph: Graph, n: int, method: str = "LDG", streams: int = 1) -> DataFrame:
     """(id, part) by a greedy stream partitioner. The methods look at edges one after the other; `streams` splits the
-    vertices by hash into so many streams that run side by side, each seeing the edges of its own vertices in eid
-    order - the loader's threads, so to say. One stream is the exact sequential method and one task: use it for graphs
-    that one task can hold."""
-    total = graph.edges.count()
-    vertices = graph.vertices.count()
-    e = graph.edges.select("eid", "src", "dst").withColumn("stream", F.pmod(F.xxhash64("src"), F.lit(streams)).cast("int"))
+    vertices by hash into so many streams that run side by side - the loader's threads, so to say. A vertex belongs to
+    one stream, which sees all its edges in the order of their numbers and alone places it; neighbours count where the
+    same stream has placed them. Each stream keeps its own share of the capacity, so all of them together keep the
+    whole: LDG leaves no partition with more than vertices / n and one per stream. One stream is the exact sequential
+    method and one task: use it for graphs that one task can hold. Vertices without edges go by hash."""
+    graph = graph.keyed()
+    e = graph.edges.select("eid", "src", "dst")
+    owner = lambda c: F.pmod(F.xxhash64(c), F.lit(streams)).cast("int")
+    both = e.withColumns({"a": owner("src"), "b": owner("dst")})
+    each = both.select("eid", "src", "dst", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("stream"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("eid")
-        place = stream_place(zip(pdf["src"].tolist(), pdf["dst"].tolist()), n, method, max(1, vertices // streams), max(1, total // streams))
+        mine = int(pdf["stream"].iloc[0])
+        own = set(pdf.loc[pdf["a"] == mine, "src"]) | set(pdf.loc[pdf["b"] == mine, "dst"])
+        place = stream_place(zip(pdf["src"].tolist(), pdf["dst"].tolist()), n, method, len(own), len(pdf), owned=own.__contains__)
         return pd.DataFrame({"id": list(place), "part": list(place.values())})
 
-    placed = e.groupBy("stream").applyInPandas(run, "id long, part int")
-    first = placed.groupBy("id").agg(F.min("part").alias("part"))
-    return graph.vertices.select("id").join(first, "id", "left").select("id", F.coalesce("part", F.pmod(F.col("id"), F.lit(n)).cast("int")).alias("part"))
+    placed = each.groupBy("stream").applyInPandas(run, "id long, part int")
+    return graph.vertices.select("id").join(placed, "id", "left").select("id", F.coalesce("part", F.pmod(F.col("id"), F.lit(n)).cast("int")).alias("part"))

@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -75,8 +75,8 @@ def scratch() -> Iterator[None]:
 
 def dropped(df: DataFrame) -> None:
     """Removes a table of materialize() that nothing reads any more."""
-    path = df.inputFiles()[0].rpartition("/")[0] if df.inputFiles() else ""
-    for entry in [e for e in _written if path and e[1].rpartition("/")[2] == path.rpartition("/")[2]]:
+    names = {f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()}
+    for entry in [e for e in _written if e[1].rpartition("/")[2] in names]:
         _written.remove(entry)
         _remove(*entry)
 
@@ -114,3 +114,17 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, how: str, salt_on:
     lefts = left.join(hot, key, "left").withColumn("__salt", lsalt).drop("__hot")
     rights = right.join(hot, key, "left").withColumn("__salt", F.explode(rsalt)).drop("__hot")
     return lefts.join(rights, [key, "__salt"], how).drop("__salt")
+
+
+def followed(df: DataFrame, group: str, order: list[str], value: str, name: str) -> DataFrame:
+    """df with `name`: the value of the next row of the same group in `order` (unique within a group), null at its end.
+    Rows are range-partitioned by group and order, so a group that holds most rows is worked in as many partitions as
+    it needs; a partition's last row of a group gets its value from the next partition's first, one row a partition."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    ranged = materialize(df.repartitionByRange(n, group, *order).withColumn("__part", F.spark_partition_id()), "ranged")
+    w = Window.partitionBy("__part", group).orderBy(*order)
+    inside = ranged.withColumn(name, F.lead(value).over(w)).withColumn("__last", F.lead(F.lit(True)).over(w).isNull())
+    firsts = ranged.groupBy("__part", group).agg(F.min_by(F.struct(value), F.struct(*order)).alias("__first"))
+    after = firsts.select("__part", F.col(group).alias("__group"), F.lead(f"__first.{value}").over(Window.partitionBy(group).orderBy("__part")).alias("__next"))
+    joined = inside.join(after.withColumnRenamed("__part", "__of"), (F.col("__part") == F.col("__of")) & F.col(group).eqNullSafe(F.col("__group")), "left")
+    return joined.withColumn(name, F.when(F.col("__last"), F.col("__next")).otherwise(F.col(name))).select(*df.columns, name)

@@ -34,24 +34,17 @@ def pairs_of(edges: DataFrame) -> DataFrame:
     return e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 
 
-def _both_ways(p: DataFrame) -> DataFrame:
-    return p.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(p.select(F.col("b").alias("u"), F.col("a").alias("v")))
-
-
-def common_neighbours(x: DataFrame, y: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row `s`: over all (u, v) of pairs both ways, the number of w with (u, w) in x and (v, w) in y."""
-    n = _both_ways(pairs)
-    left = n.join(_both_ways(x).select("u", F.col("v").alias("w")), "u")
-    right = _both_ways(y).select(F.col("u").alias("v"), F.col("v").alias("w"))
-    return left.join(right, ["v", "w"], "left_semi").agg(F.count("*").alias("s"))
-
-
-def triangle_delta(old: DataFrame, new: DataFrame) -> int:
-    """Triangles that `new` pairs (none of them in old) add to those of `old`: half of S(G,G) - S(G,N) + S(N,N)/3,
-    where G is both together and S counts common neighbours over the new pairs."""
-    whole = old.unionByName(new)
-    s = [common_neighbours(x, y, new).first()["s"] for x, y in ((whole, whole), (whole, new), (new, new))]
-    return (s[0] - s[1] + s[2] // 3) // 2
+def triangle_delta(old: DataFrame, new: DataFrame) -> DataFrame:
+    """One row `triangles`: how many `new` pairs (none of them in old) add to those of `old`. The neighbours of both
+    ends of every new pair are met in one pass; a triangle with k new sides is met k times, which the tags of its other
+    two sides tell, so the sums by k are divided by it. Nothing runs before the row is read."""
+    tagged = old.select("a", "b", F.lit(0).alias("fresh")).unionByName(new.select("a", "b", F.lit(1).alias("fresh")))
+    both = tagged.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("w")), F.struct(F.col("b").alias("u"), F.col("a").alias("w")))).alias("e"), "fresh")
+    sides = both.select("e.u", "e.w", "fresh")
+    left = new.select(F.col("a").alias("u"), F.col("b").alias("v")).join(sides.withColumnRenamed("fresh", "f1"), "u")
+    met = left.join(sides.select(F.col("u").alias("v"), "w", F.col("fresh").alias("f2")), ["v", "w"])
+    by_new = met.groupBy((1 + F.col("f1") + F.col("f2")).alias("k")).agg(F.count("*").alias("n"))
+    return by_new.agg(F.coalesce(F.sum((F.col("n") / F.col("k")).cast("bigint")), F.lit(0)).alias("triangles"))
 
 
 class TriangleCounter:
@@ -74,7 +67,7 @@ class TriangleCounter:
         new = pairs_of(edges).join(old, ["a", "b"], "left_anti")
         new.write.mode("overwrite").parquet(f"{self.folder}/pairs/batch={batch}")
         new = self.spark.read.schema(PAIRS).parquet(f"{self.folder}/pairs/batch={batch}")
-        delta = 0 if new.isEmpty() else triangle_delta(old, new)
+        delta = triangle_delta(old, new).first()[0]
         self.spark.createDataFrame([(delta,)], "delta bigint").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/deltas/batch={batch}")
         return self.total(batch + 1)
 

@@ -95,7 +95,7 @@ def test_the_forest_decides_and_not_the_distance(spark, monkeypatch):
     assert {r["id"] for r in got if r["isolated"]} == odd
     assert len([r for r in got if abs(r["distance"]) >= RULES.far]) > 200  # the season's, which distance alone would flag
     model = spikes.fitted(np.array([r[3] for r in rows]), np.full(len(rows), np.nan), np.zeros(len(rows), np.int64), np.ones(len(rows)), np.linspace(95, 105, 99), np.full(32, np.nan), RULES, 1)
-    args = (np.array([100.0, 109.5, 125.0]), np.full(3, np.nan), np.zeros(3, np.int64), np.ones(3), RULES)
+    args = (np.array([100.0, 113.0, 125.0]), np.full(3, np.nan), np.zeros(3, np.int64), np.ones(3), RULES)
     assert spikes.judged(model, *args)[2].tolist() == [False, False, True]
     flat = model | {"threshold": np.zeros_like(model["threshold"])}  # as if the forest had no say
     assert spikes.judged(flat, *args)[2].tolist() != spikes.judged(model, *args)[2].tolist()
