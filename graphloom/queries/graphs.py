@@ -107,7 +107,7 @@ CYPHER: dict[str, tuple[str, str]] = {
     "case_simple": ("MATCH (n) RETURN CASE n.label WHEN 'Part' THEN 1 WHEN 'Order' THEN 2 ELSE 0 END AS k, count(*) AS n", "SELECT CAST(CASE label WHEN 'Part' THEN 1 WHEN 'Order' THEN 2 ELSE 0 END AS BIGINT) AS k, count(*) AS n FROM V GROUP BY ALL"),
     "map_value": ("MATCH (p:Part) WITH p, {b: p.brand, s: p.size} AS m RETURN p.id AS id, m.b AS brand, m.s + 1 AS next", "SELECT id, brand, CAST(size + 1 AS BIGINT) AS next FROM V WHERE label = 'Part'"),
     "return_star": ("MATCH (r:Region) WITH r.name AS region, id(r) AS i RETURN *", "SELECT name AS region, id AS i FROM V WHERE label = 'Region'"),
-    "type_compatibility": ("MATCH (n:Nation) WHERE n.name = 5 OR n.name > 'J' OR n.id = '103' RETURN n.id AS id", "SELECT id FROM V WHERE label = 'Nation' AND (name > 'J' OR id = 103)"),
+    "type_compatibility": ("MATCH (n:Nation) WHERE n.name = 5 OR n.name > 'NATION_5' OR n.id = '103' RETURN n.id AS id", "SELECT id FROM V WHERE label = 'Nation' AND (name > 'NATION_5' OR id = 103)"),
     "expand_two_hop": ("MATCH (c:Customer)-[:PLACED]->(o)-[l:CONTAINS]->(p:Part) WHERE p.size = 10 RETURN c.id AS c, p.id AS p, l.quantity AS q", "SELECT x.src AS c, y.dst AS p, y.quantity AS q FROM E x JOIN E y ON x.dst = y.src JOIN V p ON p.id = y.dst WHERE x.type = 'PLACED' AND y.type = 'CONTAINS' AND p.size = 10"),
     "expand_multi_type": ("MATCH (a)-[r:PLACED|IN_NATION]->(b) RETURN type(r) AS t, count(*) AS n", "SELECT type AS t, count(*) AS n FROM E WHERE type IN ('PLACED', 'IN_NATION') GROUP BY ALL"),
     "rel_uniqueness": ("MATCH (o:Order)-[r1:CONTAINS]->(p)<-[r2:CONTAINS]-(q) RETURN p.id AS p, count(*) AS n", "SELECT p, n FROM (WITH L AS (SELECT l_partkey AS k, row_number() OVER () AS i FROM lineitem) SELECT 2000000 + x.k AS p, count(*) AS n FROM L x JOIN L y ON x.k = y.k AND x.i <> y.i GROUP BY ALL)"),

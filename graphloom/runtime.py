@@ -45,6 +45,22 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_lines(df: DataFrame, label: str) -> str:
+    """Writes the single text column of df as lines to the shared folder; the path is removed like materialize()'s."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/graphloom/{label}-{uuid.uuid4().hex}"
+    df.write.text(path)
+    _written.append((spark, path))
+    return path
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that is removed like materialize()'s tables."""
+    path = f"{shared_dir(spark)}/graphloom/{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -6,6 +6,8 @@ read are left out; bad_lines() gives them.
 
 from __future__ import annotations
 
+import urllib.request
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..graph import Graph
@@ -38,22 +40,41 @@ def edge_list_graph(spark: SparkSession, path: str, directed: bool = False) -> G
     return Graph.of_edges(read_edge_list(spark, path), directed)
 
 
+def fetch(spark: SparkSession, url: str, to: str, chunk: int = 1 << 20) -> str:
+    """Loads a URL (http, https, ftp, file) into a file of any Hadoop path, a chunk at a time; returns that path, which
+    the loaders read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(to)
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        with urllib.request.urlopen(url) as source:
+            while data := source.read(chunk):
+                out.write(bytearray(data))
+    finally:
+        out.close()
+    return to
+
+
 def renumber(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges with contiguous ids from 0, (id, number)): vertices numbered in id order. Numbers come from a range
     partitioned sort and per-partition offsets, so no task sees all vertices."""
     ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).where("id is not null").distinct()
-    ranged = materialize(ids.repartitionByRange("id").sortWithinPartitions("id").withColumn("__part", F.spark_partition_id()), "ids")
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    rank = F.row_number().over(Window.partitionBy("__part").orderBy("id"))
-    numbers = ranged.withColumn("__rank", rank).join(offsets, "__part").select("id", (F.col("__before") + F.col("__rank") - 1).alias("number"))
+    numbers = numbered(ids, "id", "number")
     out = edges
     for end in ("src", "dst"):
         out = out.join(numbers.select(F.col("id").alias(end), F.col("number").alias(f"__{end}")), end).drop(end).withColumnRenamed(f"__{end}", end)
     return out, numbers
 
 
+def numbered(distinct: DataFrame, key: str, name: str) -> DataFrame:
+    """The distinct values of a column with their numbers from 0 in order, by range partitions and their offsets."""
+    ranged = materialize(distinct.repartitionByRange(key).sortWithinPartitions(key).withColumn("__part", F.spark_partition_id()), "numbered")
+    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a partition
+    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy(key))
+    return ranged.withColumn("__rank", rank).join(offsets, "__part").select(key, (F.col("__before") + F.col("__rank") - 1).alias(name))
+
+
 def parse_edge_json(lines: DataFrame, column: str = "value") -> DataFrame:
     """Edge messages of a text column, as a struct `m`; lines that are no JSON object have null."""
     return lines.select(F.from_json(column, EDGE_JSON, {"mode": "PERMISSIVE"}).alias("m"))
@@ -69,7 +90,7 @@ def edges_of_json(messages: DataFrame) -> DataFrame:
 def vertices_of_json(messages: DataFrame) -> DataFrame:
     """(id, label, props), one row per vertex that a message mentions, stand-alone node messages included. Of several
     the one with most properties is kept, then the greatest as text."""
-    own = F.struct(F.col("m.id").alias("id"), F.lit(None).cast("string").alias("pid"), F.from_json(F.lit("{}"), "map<string,string>").alias("properties"))
+    own = F.struct(F.col("m.id").alias("id"), F.col("m.pid").alias("pid"), F.col("m.properties").alias("properties"))
     ends = F.array("m.source", "m.destination", F.when(F.col("m.isNode"), own))
     x = messages.where("m is not null").select(F.explode(ends).alias("v")).where("v.id is not null")
     x = x.select(F.col("v.id").try_cast("bigint").alias("id"), F.col("v.properties").alias("props")).where("id is not null")
@@ -93,10 +114,10 @@ def read_rdf(spark: SparkSession, path: str) -> DataFrame:
     """(record, kind, title, journal, volume, year, month, url, authors): bibliography records of RDF/XML."""
     out = None
     for kind in RDF_RECORDS:
-        x = spark.read.format("xml").option("rowTag", f"akt:{kind}").option("attributePrefix", "_").load(path)
-        if not x.columns:
+        x = spark.read.format("xml").option("rowTag", f"akt:{kind}").option("attributePrefix", "_").option("mode", "DROPMALFORMED").load(path)
+        if not (columns := [c for c in x.columns if c != "_corrupt_record"]):
             continue
-        x = x.withColumn("__json", F.to_json(F.struct(*[F.col(f"`{c}`") for c in x.columns])))
+        x = x.withColumn("__json", F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns])))
         scalar = lambda tag: F.coalesce(F.when(F.col("__json").rlike(rf'"{tag}":"'), F.regexp_extract("__json", rf'"{tag}":"((?:[^"\\]|\\.)*)"', 1)), F.nullif(F.regexp_extract("__json", rf'"{tag}":(-?[\d.]+)', 1), F.lit("")))
         authors = F.array_distinct(F.regexp_extract_all("__json", F.lit(r'"akt:full-name":"((?:[^"\\]|\\.)*)"'), F.lit(1)))
         x = x.select(F.xxhash64("__json").alias("record"), F.lit(kind).alias("kind"), *[scalar(tag).alias(n) for n, tag in RDF_FIELDS.items()], authors.alias("authors"))
@@ -150,16 +171,18 @@ def field_frequencies(papers: DataFrame, weight: float = 0.5) -> DataFrame:
     return each.groupBy("name").agg(F.count("*").alias("n"))
 
 
-def one_hot(papers: DataFrame, weight: float = 0.5, above: int = 821, most: int = 100_000) -> DataFrame:
+def one_hot(papers: DataFrame, weight: float = 0.5, above: int = 821) -> DataFrame:
     """(id, features array<tinyint>): one place per field of study that more than `above` papers have with a weight
-    above `weight`, in name order. The list of fields is the result's schema; more than `most` is an error."""
-    kept = field_frequencies(papers, weight).where((F.col("n") > above) & F.col("name").isNotNull()).select("name").orderBy("name").limit(most + 1)
-    names = [r[0] for r in kept.collect()]
-    if len(names) > most:
-        raise ValueError(f"more than {most} fields of study")
-    has = F.array_distinct(F.transform(F.filter("fos", lambda f: f["w"] > weight), lambda f: f["name"]))
-    places = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
-    return papers.select("id", F.transform(places, lambda n: F.coalesce(F.array_contains(has, n), F.lit(False)).cast("tinyint")).alias("features"))
+    above `weight`, in name order. The fields are numbered and joined to the papers that have them, so neither the plan
+    nor the driver holds the list, however long it is. id is unique."""
+    kept = field_frequencies(papers, weight).where((F.col("n") > above) & F.col("name").isNotNull())
+    places = numbered(kept.select("name"), "name", "place")
+    total = places.agg(F.count("*").cast("int").alias("__total"))  # one row
+    each = papers.select("id", F.explode("fos").alias("f")).where(F.col("f.w") > weight).select("id", F.col("f.name").alias("name")).distinct()
+    held = each.join(places, "name").groupBy("id").agg(F.collect_set(F.col("place").cast("int")).alias("held"))
+    all_ = F.when(F.col("__total") > 0, F.sequence(F.lit(0), F.col("__total") - 1)).otherwise(F.array().cast("array<int>"))
+    out = papers.select("id").join(held, "id", "left").crossJoin(F.broadcast(total))
+    return out.select("id", F.transform(all_, lambda p: F.coalesce(F.array_contains("held", p), F.lit(False)).cast("tinyint")).alias("features"))
 
 
 # Element types of attribute files.

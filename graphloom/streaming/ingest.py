@@ -6,6 +6,8 @@ failure writes the same rows over it, and the state of a batch is that of all ea
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -74,24 +76,37 @@ class TriangleCounter:
     def total(self, before: int = 2**62) -> int:
         return self._before("deltas", "delta bigint", before).agg(F.coalesce(F.sum("delta"), F.lit(0))).first()[0]
 
+    def totals(self) -> DataFrame:
+        """One row `triangles`: the count after all batches so far."""
+        return self._before("deltas", "delta bigint", 2**62).agg(F.coalesce(F.sum("delta"), F.lit(0)).alias("triangles"))
+
     def start(self, edges: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Runs the counter on a streaming DataFrame with src and dst; trigger as writeStream.trigger takes it."""
         write = edges.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, i: self.add(df, i) and None)
         return (write.trigger(**trigger) if trigger else write).start()
 
 
+EDGES = "src bigint, dst bigint, type string"
+
+
+def appended(spark: SparkSession, folder: str) -> DataFrame:
+    """All edges that append_edges() has put beneath a folder."""
+    return spark.read.schema(f"{EDGES}, run string, batch bigint").option("basePath", folder).parquet(folder)
+
+
 def append_edges(edges: DataFrame, folder: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Appends edges of a stream that are not there yet to <folder>/batch=<n>."""
+    """Appends edges of a stream that are not there yet to <folder>/run=<r>/batch=<n>, r standing for the checkpoint: a
+    batch that is run again writes over itself, and another stream into the same folder writes beside it."""
     spark = edges.sparkSession
-    schema = "src bigint, dst bigint, type string"
+    run = f"{zlib.crc32(checkpoint.encode()):08x}x"
 
     def add(df: DataFrame, i: int) -> None:
         new = df.select("src", "dst", "type").distinct()
         p = spark._jvm.org.apache.hadoop.fs.Path(folder)
         if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-            there = spark.read.schema(f"{schema}, batch bigint").option("basePath", folder).parquet(folder).where(F.col("batch") < i)
+            there = appended(spark, folder).where((F.col("run") != run) | (F.col("batch") < i))
             new = new.join(there, ["src", "dst", "type"], "left_anti")
-        new.write.mode("overwrite").parquet(f"{folder}/batch={i}")
+        new.write.mode("overwrite").parquet(f"{folder}/run={run}/batch={i}")
 
     write = edges.writeStream.option("checkpointLocation", checkpoint).foreachBatch(add)
     return (write.trigger(**trigger) if trigger else write).start()

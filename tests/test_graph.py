@@ -245,3 +245,146 @@ def test_validity(spark):
     g = graph(spark, [(1, 2)])
     assert g.valid().count() == 0
     assert Graph(g.vertices.where("id = 1"), g.edges).valid().count() == 1
+
+
+# --- the rest
+
+
+def test_a_graph_with_the_counts_of_the_power_grid(spark, tmp_path):
+    """4,941 vertices, 6,594 edges, 651 triangles: a path, 651 chords over two of its edges, far chords for the rest."""
+    n, m, t = 4941, 6594, 651
+    pairs = [(i, i + 1) for i in range(n - 1)] + [(4 * i, 4 * i + 2) for i in range(t)]
+    pairs += [(i, i + 2000) for i in range(m - len(pairs))]
+    g = sources.edge_list_graph(spark, put(tmp_path, "grid.dl", "\n".join(f"{a} {b}" for a, b in pairs)))
+    assert (g.vertex_count().first()[0], g.edge_count().first()[0], triangles.triangle_count(g).first()[0]) == (n, m, t)
+    from graphloom.cypher.compiler import cypher
+
+    assert cypher(g, "MATCH (n) WHERE n.id < 10 RETURN avg(n.id) AS a").first()[0] == 4.5
+    keyed = g.keyed()
+    assert keyed.keyed() is keyed and keyed.edges.select("eid").distinct().count() == m
+
+
+def test_equal_edges_have_numbers_of_their_own(spark):
+    g = graph(spark, [(1, 2)] * 5000 + [(2, 1)] * 3).keyed()
+    assert g.edges.select("eid").distinct().count() == 5003
+    a, b = g.edges, g.edges.select("src", "dst", "eid").repartition(7)
+    assert a.join(b, ["src", "dst", "eid"]).count() == 5003  # every reading sees the same numbers
+
+
+@pytest.mark.parametrize("method", ["LDG", "FENNEL"])
+@pytest.mark.parametrize("streams", [1, 3, 8])
+def test_streams_keep_the_balance(spark, method, streams):
+    pairs = [p for p in random_pairs(8, 160, 900) if p[0] != p[1]]
+    g = graph(spark, pairs)
+    placed = {r["id"]: r["part"] for r in partitioning.stream_partition(g, 4, method, streams).collect()}
+    sizes = [list(placed.values()).count(i) for i in range(4)]
+    assert set(placed) == {x for p in pairs for x in p} and min(sizes) > 0
+    if method == "LDG":
+        assert max(sizes) <= len(placed) / 4 + streams
+
+
+def test_followers_over_partition_borders(spark):
+    from graphloom.runtime import followed
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i // 3, i, rng.randrange(100)) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, t int, i int, v int").repartition(5)
+    got = {r["i"]: r["nx"] for r in followed(df, "g", ["t", "i"], "v", "nx").collect()}
+    want = {}
+    for g in ("a", "b", None):
+        own = sorted((t, i, v) for k, t, i, v in rows if k == g)
+        want |= {a[1]: b[2] if b else None for a, b in itertools.zip_longest(own, own[1:])}
+    assert got == want
+    assert followed(df.limit(0), "g", ["t", "i"], "v", "nx").count() == 0
+
+
+def test_pagerank_reads_one_round_at_a_time(spark):
+    g = graph(spark, random_pairs(4), True)
+    size = [len(pagerank.pagerank(g, 0.85, n)._jdf.queryExecution().optimizedPlan().toString()) for n in (2, 9)]
+    assert size[1] < 1.2 * size[0]
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch, spark):
+    from types import SimpleNamespace
+
+    from graphloom import runtime
+
+    def session(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: folder), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda x: None))
+
+    for master in ("yarn", "spark://h:7077", "k8s://x", "localhost"):
+        with pytest.raises(ValueError):
+            runtime.shared_dir(session(master))
+        assert runtime.shared_dir(session(master, "s3a://b/x")) == "s3a://b/x"
+    assert runtime.shared_dir(session("local[3]")).startswith("file:")
+    with runtime.scratch():
+        path = runtime.materialize(spark.range(3)).inputFiles()[0]
+    assert not os.path.exists(path.removeprefix("file://"))
+
+
+def test_catalog_append_and_models(spark, tmp_path):
+    c = Catalog(spark, f"file://{tmp_path}/cat")
+    i = c.add("g", graph(spark, [(1, 2), (2, 3)]))
+    c.append(i, graph(spark, [(3, 4), (1, 2)]))
+    row = c.rows().first()
+    assert (row["vertexcount"], row["edgecount"]) == (4, 4) == (c.get(i).vertices.count(), c.get(i).edges.select("eid").distinct().count())
+    with pytest.raises(ValueError):
+        c.append(i, Graph.of_edges(spark.createDataFrame([(1, 2, 5)], "src bigint, dst bigint, weight int")))
+    m = c.add_model("net", f"file://{put(tmp_path, 'net.bin', 'abc')}")
+    assert [tuple(r)[:2] + (r["bytes"],) for r in c.models().collect()] == [(m, "net", 3)]
+    assert (tmp_path / "cat" / "models" / str(m) / "net.bin").read_text() == "abc"
+
+
+def test_jobs_start_by_priority(spark):
+    from graphloom.jobs import JobQueue
+
+    q, seen = JobQueue(spark, workers=1), []
+    waiting = [q.submit(lambda s, p=p: (seen.append(p), s.sparkContext.getLocalProperty("spark.scheduler.pool"), s.range(3).count())[1:], p) for p in (1, 9, 2, 1)]
+    failed = q.submit(lambda s: 1 / 0)
+    q.start()
+    assert [f.result(60) for f in waiting] == [("low", 3), ("high", 3), ("high", 3), ("low", 3)]
+    assert seen == [9, 2, 1, 1] and isinstance(failed.exception(60), ZeroDivisionError)
+    q.stop()
+    for bad in (0, True, "high"):
+        with pytest.raises(ValueError):
+            q.submit(len, bad)
+
+
+def test_stream_metrics(spark, tmp_path):
+    from graphloom.streaming.metrics import Metrics, exposition
+
+    assert exposition({"rows": 3.0}, {"query": 'a"b'}).endswith('stream_rows{query="a\\"b"} 3\n')
+    texts = []
+    listener = Metrics(texts.append)
+    spark.streams.addListener(listener)
+    try:
+        (tmp_path / "in").mkdir()
+        (tmp_path / "in" / "0.txt").write_text("a\nb\n")
+        q = spark.readStream.text(str(tmp_path / "in")).writeStream.format("noop").queryName("lines").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        for _ in range(50):
+            if texts:
+                break
+            import time
+
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert any('stream_rows{query="lines"} 2' in t for t in texts)
+
+
+def test_node_messages_keep_their_properties(spark, tmp_path):
+    lone = {"isNode": True, "id": "7", "pid": 1, "properties": {"id": "7", "label": "Person", "name": "Ann"}}
+    g = sources.edge_json_graph(spark, put(tmp_path, "n.json", json.dumps(lone) + "\n" + json.dumps(messages()[1])))
+    assert {r["id"]: r["label"] for r in g.vertices.collect()} == {7: "Person", 1: None, 3: None}
+
+
+def test_intersection(spark):
+    from graphloom.operators.sets import intersection
+
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (None, "y"), (2, "z")], "k int, v string")
+    b = spark.createDataFrame([("x", 1), ("x", 1), ("x", 1), ("y", None)], "v string, k int")
+    assert sorted(map(tuple, intersection(a, b).collect()), key=repr) == [(1, "x"), (None, "y")]
+    assert intersection(a, b, True).count() == 3 and intersection(a, b.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        intersection(a, b.withColumnRenamed("k", "n"))
