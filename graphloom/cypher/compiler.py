@@ -133,7 +133,8 @@ class Compiler:
         aliases = [fresh("k") for _ in keys]
         found = inner.here().groupBy(*[col(k).alias(a) for k, a in zip(keys, aliases)]).agg(agg.alias(name))
         if not keys:
-            self.rows = rows.crossJoin(F.broadcast(found.select(F.coalesce(name, F.lit(False)).alias(name)) if body is None else found))
+            # one row in either case; a list of matches is as long as they are many, so it is not broadcast by a hint
+            self.rows = rows.crossJoin(found.select(F.coalesce(name, F.lit(False)).alias(name)) if body is None else found)
             return name
         on = reduce(lambda a, c: a & c, [col(k).eqNullSafe(col(a)) for k, a in zip(keys, aliases)])
         out = rows.join(found, on, "left").drop(*aliases)

@@ -17,8 +17,6 @@ from . import ast as A
 from .expressions import Binding, Expressions, col, has_labels
 from .lexer import CypherError
 
-#: A path without an upper bound may not get longer than this.
-MAX_HOPS = 64
 _numbers = count()
 
 
@@ -183,20 +181,21 @@ class Patterns:
     def walk(self, rows: DataFrame, near: Binding, r: A.RelPattern, flip: bool, ends: DataFrame | None) -> tuple[DataFrame, Binding, str]:
         """Paths of low to high edges, no edge twice: one join per length. Frontiers of three edges and more that are
         walked on from are written to the shared folder, so each edge join runs once; without an upper bound the walk
-        ends when no path grows. The longest paths are only grown along edges that lead to an end that is wanted."""
+        goes on until no path grows, which it must, since no edge is taken twice. Where the wanted ends are known and
+        the length is bounded, a path only takes edges from whose far end an end can still be reached."""
         stem = fresh("w")
         value, end = f"{stem}_value", f"{stem}_end"
         low = r.low if r.low is not None else 1
-        high = r.high if r.high is not None else MAX_HOPS
         empty = F.expr("cast(array() as array<struct<eid:bigint,type:string,src:bigint,dst:bigint,to:bigint>>)")
         frontier = rows.withColumns({value: empty, end: col(near.key).cast("bigint")})
         reached = [frontier] if low == 0 else []
-        for k in range(1, high + 1):
+        leads = self.leading(r, flip, ends, r.high - 1) if ends is not None and r.high is not None else None
+        for k in count(1) if r.high is None else range(1, r.high + 1):
             e, b = self.oriented(r, flip)
             f = b.fields
             hop = F.struct(*[col(f[c]).cast(t).alias(c) for c, t in (("eid", "bigint"), ("type", "string"), ("src", "bigint"), ("dst", "bigint"))], col(f["__b"]).cast("bigint").alias("to"))
-            if ends is not None and k == r.high:
-                e = e.join(ends, col(f["__b"]) == F.col("__end"), "left_semi")
+            if leads is not None:
+                e = e.join(leads[r.high - k], col(f["__b"]) == F.col("__end"), "left_semi")
             e = e.select(col(f["__a"]).alias("__near"), hop.alias("__hop"))
             grown = frontier.join(e, col(end) == F.col("__near")).where(~F.exists(col(value), lambda x: x["eid"] == F.col("__hop.eid")))
             grown = grown.withColumns({value: F.concat(col(value), F.array("__hop")), end: F.col("__hop.to")})
@@ -207,14 +206,21 @@ class Patterns:
                     break
             if k >= low:
                 reached.append(frontier)
-        else:
-            if r.high is None:
-                raise CypherError(f"a path without an upper bound grew beyond {MAX_HOPS} relationships")
         out = reduce(DataFrame.unionByName, reached)
         if flip:
             out = out.withColumn(value, F.reverse(col(value)))
         return out, Binding("relationships", {"value": value}), end
 
+    def leading(self, r: A.RelPattern, flip: bool, ends: DataFrame, most: int) -> list[DataFrame]:
+        """(__end) by number of edges, 0 to `most`: vertices from which at most so many edges lead to a wanted end. Each
+        is written out, so that its size is known where edges are held against it."""
+        out = [ends]
+        for _ in range(most):
+            e, b = self.oriented(r, flip)
+            more = e.join(out[-1], col(b.fields["__b"]) == F.col("__end"), "left_semi").select(col(b.fields["__a"]).alias("__end"))
+            out.append(materialize(out[-1].unionByName(more).distinct(), "leading"))
+        return out
+
     def path(self, rows: DataFrame, env, part: A.Part, found: list, steps: list) -> DataFrame:
         """A named path: its node ids and its relationships in pattern order."""
         node = lambda c: F.struct(c.cast("bigint").alias("id"))

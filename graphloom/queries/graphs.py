@@ -15,7 +15,7 @@ from ..sources import edges as sources
 from ..streaming import ingest
 
 # Where the ids of each label begin.
-BASE = {"Region": 0, "Nation": 100, "Supplier": 1_000_000, "Part": 2_000_000, "Customer": 10_000_000, "Order": 100_000_000}
+BASE = {"Region": 0, "Nation": 100, "Supplier": 10**12, "Part": 2 * 10**12, "Customer": 3 * 10**12, "Order": 4 * 10**12}
 
 
 def _eid(number: int, key: Column) -> Column:
@@ -67,29 +67,29 @@ def follows(spark: SparkSession, d: str) -> Graph:
 
 def purchases(spark: SparkSession, d: str) -> Graph:
     """Customers pointing to the suppliers of what they bought; parallel edges are kept."""
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") + F.lit(10_000_000)).alias("src"))
-    l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_suppkey") + F.lit(1_000_000)).alias("dst"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") + F.lit(BASE["Customer"])).alias("src"))
+    l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_suppkey") + F.lit(BASE["Supplier"])).alias("dst"))
     return Graph.of_edges(o.join(l, "k").select("src", "dst"))
 
 
 _V = """V AS (
   SELECT CAST(r_regionkey AS BIGINT) AS id, 'Region' AS label, r_name AS name, NULL::DOUBLE AS acctbal, NULL AS brand, NULL AS ptype, NULL::INT AS size, NULL::DOUBLE AS price, NULL AS segment, NULL AS status, NULL AS priority FROM region
   UNION ALL SELECT 100 + n_nationkey, 'Nation', n_name, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM nation
-  UNION ALL SELECT 1000000 + s_suppkey, 'Supplier', s_name, s_acctbal, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM supplier
-  UNION ALL SELECT 2000000 + p_partkey, 'Part', p_name, NULL, p_brand, p_type, p_size, p_retailprice, NULL, NULL, NULL FROM part
-  UNION ALL SELECT 10000000 + c_custkey, 'Customer', c_name, c_acctbal, NULL, NULL, NULL, NULL, c_mktsegment, NULL, NULL FROM customer
-  UNION ALL SELECT 100000000 + o_orderkey, 'Order', NULL, NULL, NULL, NULL, NULL, o_totalprice, NULL, o_orderstatus, o_orderpriority FROM orders)"""
+  UNION ALL SELECT 1000000000000 + s_suppkey, 'Supplier', s_name, s_acctbal, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM supplier
+  UNION ALL SELECT 2000000000000 + p_partkey, 'Part', p_name, NULL, p_brand, p_type, p_size, p_retailprice, NULL, NULL, NULL FROM part
+  UNION ALL SELECT 3000000000000 + c_custkey, 'Customer', c_name, c_acctbal, NULL, NULL, NULL, NULL, c_mktsegment, NULL, NULL FROM customer
+  UNION ALL SELECT 4000000000000 + o_orderkey, 'Order', NULL, NULL, NULL, NULL, NULL, o_totalprice, NULL, o_orderstatus, o_orderpriority FROM orders)"""
 _E = """E AS (
   SELECT 100 + n_nationkey AS src, CAST(n_regionkey AS BIGINT) AS dst, 'IN_REGION' AS type, NULL::DOUBLE AS quantity, NULL::DOUBLE AS extendedprice, NULL::DOUBLE AS discount FROM nation
-  UNION ALL SELECT 10000000 + c_custkey, 100 + c_nationkey, 'IN_NATION', NULL, NULL, NULL FROM customer
-  UNION ALL SELECT 1000000 + s_suppkey, 100 + s_nationkey, 'IN_NATION', NULL, NULL, NULL FROM supplier
-  UNION ALL SELECT 10000000 + o_custkey, 100000000 + o_orderkey, 'PLACED', NULL, NULL, NULL FROM orders
-  UNION ALL SELECT 100000000 + l_orderkey, 2000000 + l_partkey, 'CONTAINS', l_quantity, l_extendedprice, l_discount FROM lineitem
-  UNION ALL SELECT DISTINCT 2000000 + l_partkey, 1000000 + l_suppkey, 'SUPPLIED_BY', NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE FROM lineitem)"""
+  UNION ALL SELECT 3000000000000 + c_custkey, 100 + c_nationkey, 'IN_NATION', NULL, NULL, NULL FROM customer
+  UNION ALL SELECT 1000000000000 + s_suppkey, 100 + s_nationkey, 'IN_NATION', NULL, NULL, NULL FROM supplier
+  UNION ALL SELECT 3000000000000 + o_custkey, 4000000000000 + o_orderkey, 'PLACED', NULL, NULL, NULL FROM orders
+  UNION ALL SELECT 4000000000000 + l_orderkey, 2000000000000 + l_partkey, 'CONTAINS', l_quantity, l_extendedprice, l_discount FROM lineitem
+  UNION ALL SELECT DISTINCT 2000000000000 + l_partkey, 1000000000000 + l_suppkey, 'SUPPLIED_BY', NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE FROM lineitem)"""
 _W = f"WITH {_V}, {_E} "
 _CO = "WITH l AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), P AS (SELECT DISTINCT a.l_partkey AS a, b.l_partkey AS b FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey) "
 _FO = "WITH f AS (SELECT user_id, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS nx FROM events), P AS (SELECT DISTINCT least(user_id, nx) AS a, greatest(user_id, nx) AS b FROM f WHERE nx IS NOT NULL AND nx <> user_id), N AS (SELECT a AS u, b AS v FROM P UNION ALL SELECT b, a FROM P) "
-_PU = "WITH B AS (SELECT 10000000 + o_custkey AS src, 1000000 + l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey), A AS (SELECT DISTINCT src, dst FROM B) "
+_PU = "WITH B AS (SELECT 3000000000000 + o_custkey AS src, 1000000000000 + l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey), A AS (SELECT DISTINCT src, dst FROM B) "
 _TRI = "SELECT CAST(count(*) AS BIGINT) AS triangles FROM P x JOIN P y ON x.b = y.a JOIN P z ON z.a = x.a AND z.b = y.b"
 
 #: name -> (query text, SQL over V and E)
@@ -97,7 +97,7 @@ CYPHER: dict[str, tuple[str, str]] = {
     "node_scan_filter_avg": ("MATCH (n) WHERE n.id < 10 RETURN avg(n.id) AS avg_id", "SELECT avg(id) AS avg_id FROM V WHERE id < 10"),
     "node_scan_all": ("MATCH (n) RETURN n.id AS id, n.label AS label", "SELECT id, label FROM V"),
     "node_scan_label": ("MATCH (c:Customer) RETURN c.id AS id, c.name AS name, c.acctbal AS acctbal", "SELECT id, name, acctbal FROM V WHERE label = 'Customer'"),
-    "node_by_id_seek": ("MATCH (n) WHERE id(n) = 2000007 RETURN n.id AS id, n.name AS name, n.brand AS brand", "SELECT id, name, brand FROM V WHERE id = 2000007"),
+    "node_by_id_seek": ("MATCH (n) WHERE id(n) = 2000000000007 RETURN n.id AS id, n.name AS name, n.brand AS brand", "SELECT id, name, brand FROM V WHERE id = 2000000000007"),
     "rel_type_scan_directed": ("MATCH (a)-[r:IN_REGION]->(b) RETURN a.name AS a, b.name AS b", "SELECT x.name AS a, y.name AS b FROM E JOIN V x ON x.id = src JOIN V y ON y.id = dst WHERE type = 'IN_REGION'"),
     "rel_scan_directed_all": ("MATCH (a)-[r]->(b) RETURN type(r) AS t, a.label AS a, b.label AS b, count(*) AS n", "SELECT type AS t, x.label AS a, y.label AS b, count(*) AS n FROM E JOIN V x ON x.id = src JOIN V y ON y.id = dst GROUP BY ALL"),
     "rel_scan_undirected": ("MATCH (a:Nation)-[r:IN_REGION]-(b) RETURN a.id AS a, b.id AS b", "SELECT src AS a, dst AS b FROM E WHERE type = 'IN_REGION'"),
@@ -110,7 +110,7 @@ CYPHER: dict[str, tuple[str, str]] = {
     "type_compatibility": ("MATCH (n:Nation) WHERE n.name = 5 OR n.name > 'NATION_5' OR n.id = '103' RETURN n.id AS id", "SELECT id FROM V WHERE label = 'Nation' AND (name > 'NATION_5' OR id = 103)"),
     "expand_two_hop": ("MATCH (c:Customer)-[:PLACED]->(o)-[l:CONTAINS]->(p:Part) WHERE p.size = 10 RETURN c.id AS c, p.id AS p, l.quantity AS q", "SELECT x.src AS c, y.dst AS p, y.quantity AS q FROM E x JOIN E y ON x.dst = y.src JOIN V p ON p.id = y.dst WHERE x.type = 'PLACED' AND y.type = 'CONTAINS' AND p.size = 10"),
     "expand_multi_type": ("MATCH (a)-[r:PLACED|IN_NATION]->(b) RETURN type(r) AS t, count(*) AS n", "SELECT type AS t, count(*) AS n FROM E WHERE type IN ('PLACED', 'IN_NATION') GROUP BY ALL"),
-    "rel_uniqueness": ("MATCH (o:Order)-[r1:CONTAINS]->(p)<-[r2:CONTAINS]-(q) RETURN p.id AS p, count(*) AS n", "SELECT p, n FROM (WITH L AS (SELECT l_partkey AS k, row_number() OVER () AS i FROM lineitem) SELECT 2000000 + x.k AS p, count(*) AS n FROM L x JOIN L y ON x.k = y.k AND x.i <> y.i GROUP BY ALL)"),
+    "rel_uniqueness": ("MATCH (o:Order)-[r1:CONTAINS]->(p)<-[r2:CONTAINS]-(q) RETURN p.id AS p, count(*) AS n", "SELECT p, n FROM (WITH L AS (SELECT l_partkey AS k, row_number() OVER () AS i FROM lineitem) SELECT 2000000000000 + x.k AS p, count(*) AS n FROM L x JOIN L y ON x.k = y.k AND x.i <> y.i GROUP BY ALL)"),
     "shared_variable_parts": ("MATCH (s:Supplier)-[:IN_NATION]->(n), (p)-[:SUPPLIED_BY]->(s) WHERE p.size < 3 RETURN n.name AS nation, count(*) AS n", "SELECT n.name AS nation, count(*) AS n FROM E x JOIN V n ON n.id = x.dst JOIN E y ON y.dst = x.src JOIN V p ON p.id = y.src WHERE x.type = 'IN_NATION' AND y.type = 'SUPPLIED_BY' AND p.size < 3 GROUP BY ALL"),
     "second_match": ("MATCH (c:Customer)-[:IN_NATION]->(n) WHERE c.acctbal > 9000 MATCH (n)-[:IN_REGION]->(r) RETURN r.name AS region, count(c) AS n", "SELECT r.name AS region, count(*) AS n FROM V c JOIN E x ON x.src = c.id AND x.type = 'IN_NATION' JOIN E y ON y.src = x.dst AND y.type = 'IN_REGION' JOIN V r ON r.id = y.dst WHERE c.label = 'Customer' AND c.acctbal > 9000 GROUP BY ALL"),
     "filter_compare_ops": ("MATCH (p:Part) WHERE p.size >= 10 AND p.size <= 20 AND p.size <> 15 AND p.price > 950 RETURN p.id AS id", "SELECT id FROM V WHERE label = 'Part' AND size >= 10 AND size <= 20 AND size <> 15 AND price > 950"),
@@ -142,9 +142,9 @@ CYPHER: dict[str, tuple[str, str]] = {
     "list_functions": ("MATCH (p:Part) WITH p, range(1, p.size) AS l RETURN p.id AS id, size([x IN l WHERE x % 3 = 0 | x * 2]) AS a, reduce(s = 0, x IN l | s + x) AS b, any(x IN l WHERE x > 40) AS c, head(l) AS d, last(l) AS e", "SELECT id, CAST(size // 3 AS INT) AS a, CAST(size * (size + 1) // 2 AS BIGINT) AS b, size > 40 AS c, CAST(1 AS BIGINT) AS d, CAST(size AS BIGINT) AS e FROM V WHERE label = 'Part'"),
     "with_having": ("MATCH (c:Customer)-[:PLACED]->(o) WITH c, count(o) AS n, sum(o.price) AS total WHERE n > 12 RETURN c.id AS id, n, round(total, 2) AS total", "SELECT src AS id, count(*) AS n, round(sum(v.price), 2) AS total FROM E JOIN V v ON v.id = dst WHERE type = 'PLACED' GROUP BY src HAVING count(*) > 12"),
     "pattern_comprehension": ("MATCH (r:Region) WITH r, [(r)<-[:IN_REGION]-(n) WHERE n.id < 118 | n.name] AS names UNWIND names AS name RETURN r.name AS region, size(names) AS n, name", "SELECT r.name AS region, CAST(count(*) OVER (PARTITION BY dst) AS INT) AS n, x.name FROM E JOIN V r ON r.id = dst JOIN V x ON x.id = src WHERE type = 'IN_REGION' AND x.id < 118"),
-    "var_length_path": ("MATCH (c:Customer)-[*1..3]->(r:Region) RETURN r.name AS region, count(*) AS n", "SELECT r.name AS region, count(*) AS n FROM E x JOIN E y ON x.dst = y.src JOIN V r ON r.id = y.dst WHERE x.type = 'IN_NATION' AND y.type = 'IN_REGION' AND x.src >= 10000000 GROUP BY ALL"),
-    "named_path": ("MATCH p = (c:Customer)-[:IN_NATION]->(n)-[:IN_REGION]->(r {name: 'ASIA'}) RETURN c.id AS id, length(p) AS n, [x IN nodes(p) | x.id][1] AS nation", "SELECT x.src AS id, 2 AS n, x.dst AS nation FROM E x JOIN E y ON x.dst = y.src JOIN V r ON r.id = y.dst WHERE x.type = 'IN_NATION' AND y.type = 'IN_REGION' AND r.name = 'ASIA' AND x.src >= 10000000"),
-    "label_test": ("MATCH (n)-[:IN_NATION]->(m) RETURN n:Customer AS is_customer, count(*) AS n", "SELECT src >= 10000000 AS is_customer, count(*) AS n FROM E WHERE type = 'IN_NATION' GROUP BY ALL"),
+    "var_length_path": ("MATCH (c:Customer)-[*1..3]->(r:Region) RETURN r.name AS region, count(*) AS n", "SELECT r.name AS region, count(*) AS n FROM E x JOIN E y ON x.dst = y.src JOIN V r ON r.id = y.dst WHERE x.type = 'IN_NATION' AND y.type = 'IN_REGION' AND x.src >= 3000000000000 GROUP BY ALL"),
+    "named_path": ("MATCH p = (c:Customer)-[:IN_NATION]->(n)-[:IN_REGION]->(r {name: 'ASIA'}) RETURN c.id AS id, length(p) AS n, [x IN nodes(p) | x.id][1] AS nation", "SELECT x.src AS id, 2 AS n, x.dst AS nation FROM E x JOIN E y ON x.dst = y.src JOIN V r ON r.id = y.dst WHERE x.type = 'IN_NATION' AND y.type = 'IN_REGION' AND r.name = 'ASIA' AND x.src >= 3000000000000"),
+    "label_test": ("MATCH (n)-[:IN_NATION]->(m) RETURN n:Customer AS is_customer, count(*) AS n", "SELECT src >= 3000000000000 AS is_customer, count(*) AS n FROM E WHERE type = 'IN_NATION' GROUP BY ALL"),
     "call_procedure": ("CALL db.labels() YIELD label RETURN label", "SELECT DISTINCT label FROM V"),
     "vertex_count": ("CALL db.vertexCount() YIELD vertices RETURN vertices", "SELECT count(*) AS vertices FROM V"),
     "edge_count": ("CALL db.edgeCount() YIELD edges RETURN edges", "SELECT count(*) AS edges FROM E"),

@@ -18,7 +18,7 @@ def of(spark, text):
 def test_label_and_filter_reach_the_scan(spark):
     f = of(spark, "MATCH (p:Part) WHERE p.size = 7 RETURN p.brand AS b")
     assert f.read == {"p_brand", "p_size"} and any("EqualTo(p_size,7)" in p for p in f.pushed) and f.exchanges == 0
-    f = of(spark, "MATCH (n) WHERE id(n) = 2000007 RETURN n.name AS name")
+    f = of(spark, "MATCH (n) WHERE id(n) = 2000000000007 RETURN n.name AS name")
     assert f.exchanges == 0
 
 

@@ -77,7 +77,7 @@ def test_all_parts_and_nations_are_matched(spark):
     import pyarrow.parquet as pq
 
     lines = collections.Counter(pq.read_table(f"{D}/lineitem.parquet")["l_partkey"].to_pylist())
-    assert rows(graphs.QUERIES["rel_uniqueness"](spark, D), "p", "n") == sorted((2_000_000 + p, n * (n - 1)) for p, n in lines.items() if n > 1)
+    assert rows(graphs.QUERIES["rel_uniqueness"](spark, D), "p", "n") == sorted((2 * 10**12 + p, n * (n - 1)) for p, n in lines.items() if n > 1)
     assert rows(graphs.QUERIES["merge_edges"](spark, D), "n", "k") == [(100 + i, 5) for i in range(25)]
 
 
