@@ -224,6 +224,77 @@ i AS (SELECT edge_id, side, trim(json_extract_string(t, '$.id')) AS vertex_id FR
 c AS (SELECT side, vertex_id, count(*) AS n, min(edge_id) AS first_edge, max(edge_id) AS last_edge FROM i WHERE vertex_id <> '' GROUP BY ALL)
 """
 
+_P4 = r"""
+WITH k AS (SELECT entity_kind, attr, val_type, lower(regexp_replace(attr, '[^\p{L}\p{N}]', '', 'g')) AS name FROM property_type),
+t AS (SELECT l.entity_kind, l.entity_id, l.link_id, l.loaded_at, k.attr, k.val_type, regexp_replace(l.val, '^[\s\x{00a0}\x{200b}]+|[\s\x{00a0}\x{200b}]+$', '', 'g') AS v
+  FROM (SELECT DISTINCT * FROM property_link) l JOIN k ON k.entity_kind = l.entity_kind AND k.name = lower(regexp_replace(l.attr, '[^\p{L}\p{N}]', '', 'g')) WHERE l.entity_id IS NOT NULL),
+q AS (SELECT *, trim(CASE WHEN length(v) > 1 AND v[1] = v[-1] AND v[1] IN (chr(34), chr(39)) THEN v[2:-2] ELSE v END) AS u FROM t),
+n AS (SELECT *, CASE WHEN regexp_full_match(u, '[+-]?(\d+|\d{1,3}(,\d{3})+)?(\.\d+)?([eE][+-]?\d{1,3})?') AND regexp_matches(u, '^[+-]?\.?\d') THEN TRY_CAST(replace(u, ',', '') AS DECIMAL(38, 12)) END AS x FROM q),
+r AS (SELECT *, CASE val_type
+  WHEN 'string' THEN nullif(v, '')
+  WHEN 'long' THEN CASE WHEN x = floor(x) THEN CAST(TRY_CAST(x AS BIGINT) AS VARCHAR) END
+  WHEN 'decimal' THEN CAST(TRY_CAST(round(x, 2) AS DECIMAL(20, 2)) AS VARCHAR)
+  WHEN 'boolean' THEN CASE WHEN lower(u) IN ('true', 't', 'yes', 'y', 'on', '1') THEN 'true' WHEN lower(u) IN ('false', 'f', 'no', 'n', 'off', '0') THEN 'false' END
+  WHEN 'date' THEN strftime(coalesce(try_strptime(regexp_replace(u, '[T ]\d{1,2}:.*$', ''), ['%Y-%m-%d', '%Y/%m/%d', '%Y.%m.%d', '%Y%m%d']), try_strptime(replace(u, '.', ''), ['%d %B %Y', '%d %b %Y', '%B %d, %Y', '%b %d, %Y', '%B %d %Y', '%b %d %Y'])), '%Y-%m-%d') END AS val_text FROM n),
+c AS (SELECT entity_kind, entity_id, attr, arg_max(val_text, (loaded_at, link_id, val_text)) AS val_text, any_value(val_type) AS val_type FROM r WHERE val_text IS NOT NULL GROUP BY entity_kind, entity_id, attr)
+"""
+def _opened_sql(x: str) -> str:
+    """A JSON value as it counts: text that holds an object or an array is that."""
+    return f"CASE WHEN json_type({x}) = 'VARCHAR' AND json_type(TRY_CAST({x}->>'$' AS JSON)) IN ('OBJECT', 'ARRAY', 'VARCHAR') THEN TRY_CAST({x}->>'$' AS JSON) ELSE {x} END"
+
+
+def _p3_sql() -> tuple[str, dict[str, str]]:
+    """CTEs that walk every declared path by its labels and arrays; the last CTE of each document's path."""
+    ctes, last = ["e AS (SELECT DISTINCT * FROM edge)"], {}
+    for doc, paths in shred.EDGE_ARRAYS.items():
+        top = f"{doc}_top"
+        once = f"SELECT edge_id, CAST([] AS INT[]) AS pos, {_opened_sql('TRY_CAST(' + doc + ' AS JSON)')} AS y FROM e WHERE json_valid({doc})"
+        ctes.append(f"{top} AS (SELECT edge_id, pos, {_opened_sql('y')} AS x FROM ({once}) WHERE y IS NOT NULL)")
+        last[doc] = top
+        for path in paths:
+            at, done = top, []
+            for label in path.split("."):
+                done.append(label)
+                here, held = ".".join(done), f"{doc}_{'_'.join(done)}"
+                if (doc + ":" + here) not in last:
+                    x = f"""json_extract(x, '$."{label}"')"""
+                    one = f"SELECT edge_id, pos, {_opened_sql(x)} AS y FROM {at} WHERE json_type(x) = 'OBJECT' AND {x} IS NOT NULL"
+                    step = f"SELECT edge_id, pos, {_opened_sql('y')} AS x FROM ({one})"
+                    if here in paths:
+                        each = f"SELECT edge_id, pos, CASE json_type(x) WHEN 'OBJECT' THEN [x] WHEN 'ARRAY' THEN json_extract(x, '$[*]') ELSE [] END AS l FROM ({step})"
+                        item = f"SELECT edge_id, list_append(pos, i) AS pos, {_opened_sql('v')} AS x FROM (SELECT edge_id, pos, unnest(l) AS v, unnest(range(len(l))) AS i FROM ({each}))"
+                        step = f"SELECT * FROM ({item}) WHERE json_type(x) = 'OBJECT'"
+                    ctes.append(f"{held} AS ({step})")
+                    last[doc + ":" + here] = held
+                at = last[doc + ":" + here]
+    return "WITH " + ", ".join(ctes), last
+
+
+_P3, _AT = _p3_sql()
+_P3_FOUND = " UNION ALL ".join(f"SELECT edge_id, '{doc}' AS side, '{path}' AS arr_path, array_to_string(pos, '.') AS arr_pos FROM {_AT[doc + ':' + path]}" for doc, paths in shred.EDGE_ARRAYS.items() for path in paths)
+
+
+def _scalar_sql(doc: str, label: str, name: str) -> str:
+    v = f"""json_extract(x, '$."{label}"')"""
+    return f"(SELECT any_value(CASE WHEN json_type({v}) NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN {v}->>'$' END) FROM {_AT[doc]} t WHERE t.edge_id = e.edge_id AND json_type(x) = 'OBJECT') AS {name}"
+
+
+_P3_EDGES = "SELECT edge_id, any_value(CASE WHEN trim(edgetype) <> '' THEN upper(trim(edgetype)[1]) || lower(trim(edgetype)[2:]) END) AS edgetype, " + ", ".join(f"any_value({n}) AS {n}" for n in ("type", "since", "source_id", "source_pid", "destination_id", "destination_pid")) + " FROM (SELECT edge_id, edgetype, " + ", ".join([_scalar_sql("properties", c, c) for c in ("type", "since")] + [_scalar_sql(s, c, f"{s}_{c}") for s in ("source", "destination") for c in ("id", "pid")]) + " FROM e) GROUP BY edge_id"
+
+# The attributes of each kind, as property_type lists them.
+_WIDE = {
+    "source": "active boolean, birth_year long, budget decimal, degree_hint long, floor_area decimal, founded_on date, home_city string, joined_on date, label string, last_seen date, motto string, name string, population long, rank long, retired boolean, trust_score decimal, verified boolean",
+    "edge": "channel string, confirmed boolean, expires_on date, hops long, mirrored boolean, remark string, seen_on date, since long, toll decimal, type string, weight decimal",
+}
+_SQL_TYPES = {"boolean": "BOOLEAN", "long": "BIGINT", "decimal": "DECIMAL(20, 2)", "date": "DATE", "string": "VARCHAR"}
+
+
+def _p4_wide_sql(kind: str) -> str:
+    columns = [x.split() for x in _WIDE[kind].split(", ")]
+    cells = ", ".join(f"CAST(max(CASE WHEN attr = '{n}' THEN val_text END) AS {_SQL_TYPES[t]}) AS \"{n}\"" for n, t in columns)
+    return _P4 + f"SELECT entity_kind, entity_id, {cells} FROM c WHERE entity_kind = '{kind}' GROUP BY entity_kind, entity_id"
+
+
 _P6C = """
 WITH c AS (SELECT DISTINCT id, CAST(nullif(regexp_extract(graph_id, '^\\s*(\\d{1,18})\\s*$', 1), '') AS BIGINT) AS g, partition_count AS p FROM (SELECT DISTINCT * FROM graph_sla)),
 x AS (SELECT id, g, p, EXISTS (SELECT 1 FROM graph WHERE idgraph = g AND centralpartitioncount = p) AS both_met, EXISTS (SELECT 1 FROM graph WHERE idgraph = g) AS g_met, EXISTS (SELECT 1 FROM graph WHERE centralpartitioncount = p) AS p_met FROM c)
@@ -244,6 +315,11 @@ SELECT id, metric, value, CAST(count(*) OVER (PARTITION BY place_id, metric, cha
 
 SQL = {
     "p1_runs": _P1,
+    "p3_found": f"{_P3} {_P3_FOUND}",
+    "p3_edges": f"{_P3} {_P3_EDGES}",
+    "p4_found": _P4 + "SELECT entity_kind, entity_id, attr, val_text FROM c",
+    "p4_source_wide": _p4_wide_sql("source"),
+    "p4_edge_wide": _p4_wide_sql("edge"),
     "p6_composite": _P6C,
     "p5_found": _P5 + "SELECT side, vertex_id FROM (SELECT *, sum(n) OVER (PARTITION BY side) AS whole FROM c) WHERE n >= 0.02 * whole",
     "p5_vertex_counts": _P5 + "SELECT side, vertex_id, n, first_edge, last_edge FROM c",
