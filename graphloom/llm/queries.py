@@ -87,7 +87,23 @@ SELECT {groups}, CAST(p AS DOUBLE) AS p, CAST(n AS BIGINT) AS n, {_VALUE} AS val
 WHERE greatest(1, ceil(CAST(p AS DOUBLE) * n)) > upto - c AND greatest(1, ceil(CAST(p AS DOUBLE) * n)) <= upto"""
 
 
+def _look_sql() -> str:
+    """Pairs of different texts with one look: the tables applied to whole texts, without a vocabulary. Letters that
+    NFC composes are decomposed by hand, since the engine composes only."""
+    swap = dict(zip("ёЁїЇѐЀ", "ëËïÏèÈ")) | {a: b for _, other, latin in lookalike.LOOKALIKES for a, b in zip(other, latin)} | dict(lookalike.SIGNS)
+    swap |= {chr(o): plain for o, plain in lookalike.WIDTHS.items() if len(plain) == 1}
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    of = lambda chars: "[" + "".join(f"\\x{{{ord(c):x}}}" for c in chars) + "]"
+    look = f"regexp_replace(text, '{of(lookalike.IGNORABLE)}', '', 'g')"
+    for a, b in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
+        look = f"replace({look}, '{a}', '{b}')"
+    look = f"nfc_normalize(translate(nfc_normalize({look}), {text(''.join(swap))}, {text(''.join(swap.values()))}))"
+    look = f"trim(regexp_replace(regexp_replace({look}, '{of(lookalike.SPACES)}+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), ' ' || chr(10))"
+    return f"WITH l AS (SELECT doc_id, text, {look} AS look FROM documents WHERE text <> '') SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM l a JOIN l b ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text"
+
+
 SQL = {
+    "p9_found": _look_sql(),
     "p2_distribution": _BINS + f""", f AS (SELECT graph_name, worker_count, bin, count(*) AS c FROM b GROUP BY ALL)
 SELECT graph_name, worker_count, bin, CAST(c AS BIGINT) AS n, CAST(sum(c) OVER (PARTITION BY graph_name, worker_count ORDER BY bin) AS BIGINT) AS upto,
   CAST(sum(c) OVER (PARTITION BY graph_name, worker_count) AS BIGINT) AS total, {_VALUE} AS value FROM f""",
