@@ -3,7 +3,8 @@
 Values are reduced to counts per (group, bin) with map-side combine. A bin is a value's place on a logarithmic scale:
 its representative differs from every value in it by at most `error` of that value, so a percentile has that relative
 error, whatever the shape and the tail. A group has at most as many bins as the scale has steps between its smallest
-and largest value (about 14,000 for 12 decades at 0.1 %), never as many as it has rows.
+and largest value (about 14,000 for 12 decades at 0.1 %), never as many as it has rows. With an error of 0 a bin is a
+value: results are exact, and a group has as many bins as it has different values.
 
 Frequency tables of separate partitions, days or runs are combined by adding counts (combine()); percentiles come
 from the sum: range-sort by group and bin, running sums within each range partition, plus the counts that the group
@@ -23,7 +24,9 @@ from ..runtime import materialize
 
 def bin_of(value: Column, error: float) -> Column:
     """Bin number: 0 for zero, i + offset for positive values between gamma^(i-1) and gamma^i, mirrored below zero;
-    infinities have the outermost bins. Null and NaN have none."""
+    infinities have the outermost bins. Null and NaN have none. An error of 0 gives the value itself."""
+    if not error:
+        return F.when(~F.isnan(value), value + F.lit(0.0))  # -0.0 is 0.0
     log_gamma = math.log((1 + error) / (1 - error))
     top = F.lit(2**40)
     magnitude = F.ceil(F.log(F.abs(value)) / F.lit(log_gamma)) + F.lit(2**30)
@@ -34,6 +37,8 @@ def bin_of(value: Column, error: float) -> Column:
 
 def value_of(bin_: Column, error: float) -> Column:
     """The representative of a bin."""
+    if not error:
+        return bin_
     gamma = (1 + error) / (1 - error)
     i = F.abs(bin_) - F.lit(2**30)
     size = F.when(bin_ == 0, 0.0).when(F.abs(bin_) == F.lit(2**40), float("inf")).otherwise(F.exp(i * F.lit(math.log(gamma))) * F.lit(2.0 / (gamma + 1.0)))

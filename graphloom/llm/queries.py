@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..runtime import distinct_rows, table
@@ -33,6 +35,23 @@ def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*GROUPS, "p", "n", _shown("value").alias("value"))
 
 
+def p2_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The same percentiles from counts of the values themselves."""
+    freq = quantiles.frequencies(_performance(spark, d), GROUPS, "execution_time", 0)
+    return quantiles.percentiles(freq, GROUPS, TARGETS, 0)
+
+
+def p2_within(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each percentile of the bounded tables lies within the error of the exact one."""
+    x = _performance(spark, d)
+    near = quantiles.percentiles(quantiles.frequencies(x, GROUPS, "execution_time"), GROUPS, TARGETS)
+    true = quantiles.percentiles(quantiles.frequencies(x, GROUPS, "execution_time", 0), GROUPS, TARGETS, 0)
+    true = true.select(*[F.col(g).alias(f"__{g}") for g in GROUPS], F.col("p").alias("__p"), F.col("value").alias("exact"))
+    same = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in GROUPS]
+    both = near.join(true, same[0] & same[1] & (F.col("p") == F.col("__p")))
+    return both.select(*GROUPS, "p", "n", (F.abs(F.col("value") - F.col("exact")) <= 0.001 * F.abs("exact") * (1 + 1e-9)).alias("within"))
+
+
 def p2_daily_frequencies(spark: SparkSession, d: str) -> DataFrame:
     """The combinable form per day of loading."""
     daily = _performance(spark, d).withColumn("day", F.to_date("loaded_at"))
@@ -68,7 +87,7 @@ def p9_normalized(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.normalized(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_distribution, p2_percentiles, p2_daily_frequencies, p2_median_of_days, p7_ids, p7_decoded, p8_found, p9_found, p9_normalized)}
+QUERIES = {f.__name__: f for f in (p2_distribution, p2_percentiles, p2_exact, p2_within, p2_daily_frequencies, p2_median_of_days, p7_ids, p7_decoded, p8_found, p9_found, p9_normalized)}
 
 _GAMMA = "ln(1.001 / 0.999)"
 _BINS = f"""
@@ -88,10 +107,14 @@ WHERE greatest(1, ceil(CAST(p AS DOUBLE) * n)) > upto - c AND greatest(1, ceil(C
 
 
 def _look_sql() -> str:
-    """Pairs of different texts with one look: the tables applied to whole texts, without a vocabulary. Letters that
-    NFC composes are decomposed by hand, since the engine composes only."""
-    swap = dict(zip("ёЁїЇѐЀ", "ëËïÏèÈ")) | {a: b for _, other, latin in lookalike.LOOKALIKES for a, b in zip(other, latin)} | dict(lookalike.SIGNS)
+    """Pairs of different texts with one look: the tables applied to whole texts, without a vocabulary. The engine
+    composes accents only, so letters that come composed with them are added to the tables."""
+    swap = {a: b for _, other, latin in lookalike.LOOKALIKES for a, b in zip(other, latin)} | dict(lookalike.SIGNS)
     swap |= {chr(o): plain for o, plain in lookalike.WIDTHS.items() if len(plain) == 1}
+    for c in map(chr, [*range(0x370, 0x530), *range(0x1F00, 0x2000)]):
+        base, *marks = unicodedata.normalize("NFD", c)
+        if base in swap and marks and len(composed := unicodedata.normalize("NFC", swap[base] + "".join(marks))) == 1:
+            swap.setdefault(c, composed)
     text = lambda x: "'" + x.replace("'", "''") + "'"
     of = lambda chars: "[" + "".join(f"\\x{{{ord(c):x}}}" for c in chars) + "]"
     look = f"regexp_replace(text, '{of(lookalike.IGNORABLE)}', '', 'g')"
@@ -102,7 +125,14 @@ def _look_sql() -> str:
     return f"WITH l AS (SELECT doc_id, text, {look} AS look FROM documents WHERE text <> '') SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM l a JOIN l b ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text"
 
 
+def _exact_sql(value: str) -> str:
+    return f"""WITH r AS (SELECT DISTINCT * FROM graph_performance_data), g AS (SELECT graph_name, worker_count, count(*) AS n, unnest([{", ".join(f"{{'p': CAST({p} AS DOUBLE), 'v': quantile_disc(execution_time, {p})}}" for p in TARGETS)}]) AS x
+FROM r WHERE execution_time IS NOT NULL AND NOT isnan(execution_time) GROUP BY graph_name, worker_count) SELECT graph_name, worker_count, x.p AS p, n, {value} FROM g"""
+
+
 SQL = {
+    "p2_exact": _exact_sql("x.v AS value"),
+    "p2_within": _exact_sql("true AS within"),
     "p9_found": _look_sql(),
     "p2_distribution": _BINS + f""", f AS (SELECT graph_name, worker_count, bin, count(*) AS c FROM b GROUP BY ALL)
 SELECT graph_name, worker_count, bin, CAST(c AS BIGINT) AS n, CAST(sum(c) OVER (PARTITION BY graph_name, worker_count ORDER BY bin) AS BIGINT) AS upto,
