@@ -271,7 +271,57 @@ def sla_calibration(spark: SparkSession, d: str) -> DataFrame:
     return calibrated_sla(x, ["id_sla_category", "partition_count"], "sla_value", "attempt").withColumn("sla_value", F.round("sla_value", 6))
 
 
-_PLAIN = (triangle_count, triangle_count_follows, triangles_per_vertex, in_degree, out_degree, degree_json, ego_net, pagerank_purchases, hash_partition_stats, ldg_partition, fennel_partition, ldg_balance, incremental_triangles, windowed_events, fed_avg, training_merge, field_one_hot, graph_listing, sla_calibration)
+def labelled(spark: SparkSession, d: str) -> Graph:
+    """Customers with two labels each, their segment being the second, and what they placed."""
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    people = c.select(F.col("c_custkey").alias("id"), F.array(F.lit("Customer"), "c_mktsegment").alias("labels"), F.col("c_name").alias("name"))
+    orders = o.select((F.col("o_orderkey") + BASE["Order"]).alias("id"), F.array(F.lit("Order"), F.concat(F.lit("S"), "o_orderstatus")).alias("labels"))
+    placed = o.select(_eid(4, F.col("o_orderkey")).alias("eid"), F.col("o_custkey").alias("src"), (F.col("o_orderkey") + BASE["Order"]).alias("dst"), F.lit("PLACED").alias("type"))
+    return Graph(people.unionByName(orders, allowMissingColumns=True), placed)
+
+
+def multi_label_scan(spark: SparkSession, d: str) -> DataFrame:
+    return cypher(labelled(spark, d), "MATCH (n:Customer:BUILDING) RETURN n.id AS id, n.name AS name")
+
+
+def multi_label_expand(spark: SparkSession, d: str) -> DataFrame:
+    return cypher(labelled(spark, d), "MATCH (c:Customer:MACHINERY)-[:PLACED]->(o:Order:SF) RETURN c.id AS id, count(o) AS n")
+
+
+def return_node(spark: SparkSession, d: str) -> DataFrame:
+    """Whole nodes and relationships as results."""
+    x = cypher(star_graph(spark, d), "MATCH (n:Nation)-[r:IN_REGION]->(m) RETURN n, r, m")
+    return x.select(F.col("n.id").alias("id"), F.col("n.label").alias("label"), F.col("r.type").alias("type"), F.col("m.name").alias("region"))
+
+
+def node_degrees(spark: SparkSession, d: str) -> DataFrame:
+    """Relationships of each part by size() of a pattern."""
+    return cypher(star_graph(spark, d), "MATCH (p:Part) RETURN p.id AS id, size((p)-[:SUPPLIED_BY]->()) AS n")
+
+
+def link_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Cosine similarity of neighbouring vectors, and of every vector with itself."""
+    e = table(spark, d, "embeddings")
+    v = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"))
+    pairs = e.select(F.col("vec_id").alias("src"), F.explode(F.array("vec_id", F.col("vec_id") + 1)).alias("dst"))
+    x = learning.link_scores(Graph(v, pairs.withColumn("type", F.lit("NEAR"))))
+    return x.where("score is not null").select("src", "dst", F.round("score", 4).alias("score"))
+
+
+def training_memory(spark: SparkSession, d: str) -> DataFrame:
+    """Memory (GB) that training on each graph needs, at 100 bytes an edge."""
+    g = table(spark, d, "graph").dropDuplicates().where("edgecount is not null")
+    return g.select("idgraph", F.round(learning.training_memory_gb(F.col("edgecount") * 100 / 1e9), 6).alias("gb"))
+
+
+def graph_algorithms(spark: SparkSession, d: str) -> DataFrame:
+    """Graphs by the algorithm that partitioned them."""
+    names = F.create_map(*[F.lit(x) for pair in partitioning.ALGORITHMS.items() for x in pair])
+    g = table(spark, d, "graph").dropDuplicates()
+    return g.groupBy(names[F.col("id_algorithm")].alias("algorithm")).agg(F.count("*").alias("n"))
+
+
+_PLAIN = (multi_label_scan, multi_label_expand, return_node, node_degrees, link_scores, training_memory, graph_algorithms, triangle_count, triangle_count_follows, triangles_per_vertex, in_degree, out_degree, degree_json, ego_net, pagerank_purchases, hash_partition_stats, ldg_partition, fennel_partition, ldg_balance, incremental_triangles, windowed_events, fed_avg, training_merge, field_one_hot, graph_listing, sla_calibration)
 
 QUERIES = {n: _cypher_query(q) for n, (q, _) in CYPHER.items()} | {n: _update_query(u, r) for n, (u, r, _) in UPDATES.items()} | {f.__name__: f for f in _PLAIN}
 
@@ -287,6 +337,13 @@ def _pagerank_sql(rounds: int) -> str:
 
 
 SQL = {n: _W + s for n, (_, s) in CYPHER.items()} | {n: _W + s for n, (_, _, s) in UPDATES.items()} | {
+    "multi_label_scan": "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_mktsegment = 'BUILDING'",
+    "multi_label_expand": "SELECT c_custkey AS id, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'MACHINERY' AND o_orderstatus = 'F' GROUP BY ALL",
+    "return_node": "SELECT CAST(100 + n_nationkey AS BIGINT) AS id, 'Nation' AS label, 'IN_REGION' AS type, r_name AS region FROM nation JOIN region ON r_regionkey = n_regionkey",
+    "node_degrees": "SELECT 2000000000000 + p_partkey AS id, CAST((SELECT count(DISTINCT l_suppkey) FROM lineitem WHERE l_partkey = p_partkey) AS INT) AS n FROM part",
+    "link_scores": "SELECT a.vec_id AS src, b.vec_id AS dst, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS score FROM embeddings a JOIN embeddings b ON b.vec_id IN (a.vec_id, a.vec_id + 1)",
+    "training_memory": "SELECT idgraph, round(3.6 * (edgecount * 100 / 1e9) + 2, 6) AS gb FROM (SELECT DISTINCT * FROM graph) WHERE edgecount IS NOT NULL",
+    "graph_algorithms": "SELECT CASE id_algorithm WHEN 1 THEN 'HASH' WHEN 2 THEN 'FENNEL' WHEN 3 THEN 'LDG' WHEN 4 THEN 'METIS' END AS algorithm, count(*) AS n FROM (SELECT DISTINCT * FROM graph) GROUP BY ALL",
     "triangle_count": _CO + _TRI,
     "triangle_count_follows": _FO + _TRI,
     "triangles_per_vertex": _FO + ", T AS (SELECT x.a AS p, x.b AS q, y.b AS r FROM P x JOIN P y ON x.b = y.a JOIN P z ON z.a = x.a AND z.b = y.b) SELECT id, CAST(count(*) AS BIGINT) AS triangles FROM (SELECT p AS id FROM T UNION ALL SELECT q FROM T UNION ALL SELECT r FROM T) GROUP BY id",
