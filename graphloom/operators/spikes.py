@@ -155,13 +155,16 @@ def anomaly_score(forest: dict, points: np.ndarray) -> np.ndarray:
     total = np.zeros(n, np.float32)
     inner = 2 ** forest["depth"] - 1
     for feature, split, rest in zip(forest["feature"], forest["split"], forest["rest"]):
-        at = np.zeros(n, np.int64)
-        for _ in range(forest["depth"]):
-            v = flat[feature[at].astype(np.int64) * n + rows]
-            s = split[at]
-            total += (v >= s[:, 1]) & (v <= s[:, 2])
-            at = 2 * at + 1 + (v >= s[:, 0])
-        total += rest[at - inner]
+        offset = feature.astype(np.int64) * n
+        threshold, low, high = (np.ascontiguousarray(split[:, i]) for i in range(3))
+        v = flat[offset[0] : offset[0] + n]  # all points are at the root
+        total += (v >= low[0]) & (v <= high[0])
+        at = 1 + (v >= threshold[0])
+        for _ in range(forest["depth"] - 1):
+            v = flat.take(offset.take(at) + rows)
+            total += (v >= low.take(at)) & (v <= high.take(at))
+            at = 2 * at + 1 + (v >= threshold.take(at))
+        total += rest.take(at - inner)
     return np.exp2(-(total.astype(np.float64) / len(forest["rest"])) / forest["c"])
 
 
