@@ -138,9 +138,10 @@ def grow(points: np.ndarray, trees: int, psi: int, seed: int) -> dict:
             if level >= depth or part.shape[1] <= 1 or not len(wide):
                 rest[t, (at + 1) * 2 ** (depth - level) - 1 - inner] = average_path(part.shape[1])
                 continue
-            share = WEIGHTS[wide] / WEIGHTS[wide].sum()
-            f = int(rng.choice(wide, p=share))
-            threshold = float(rng.uniform(low[f], high[f]))
+            share = WEIGHTS[wide].cumsum()
+            pick, place = rng.random(2)
+            f = int(wide[min(np.searchsorted(share, pick * share[-1], "right"), len(wide) - 1)])
+            threshold = float(low[f] + place * (high[f] - low[f]))
             reach = REACH * float(high[f] - low[f])
             feature[t, at], split[t, at] = f, (threshold, threshold - reach, threshold + reach)
             right = part[f] >= np.float32(threshold)
