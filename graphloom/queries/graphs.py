@@ -23,6 +23,16 @@ def _eid(number: int, key: Column) -> Column:
     return F.lit(number << 60) + key.cast("bigint")
 
 
+def _row_number(rows: DataFrame) -> Column:
+    """A number of each row of a Parquet table by its file (20 bits) and its place in it (40), whatever is filtered or
+    pruned: keys may repeat, and no shuffle is needed to count them. Files are numbered in order of their names."""
+    files = sorted(rows.inputFiles())
+    if len(files) == 1:
+        return F.col("_metadata.row_index")
+    place = F.create_map(*[F.lit(x) for i, f in enumerate(files) for x in (f, i)])[F.col("_metadata.file_path")]
+    return F.shiftleft(place.cast("bigint"), 40) + F.col("_metadata.row_index")
+
+
 def star_graph(spark: SparkSession, d: str) -> Graph:
     """Regions, nations, suppliers, parts, customers and orders as one property graph."""
     t = {n: table(spark, d, n) for n in ("region", "nation", "supplier", "part", "customer", "orders", "lineitem")}
@@ -39,9 +49,7 @@ def star_graph(spark: SparkSession, d: str) -> Graph:
         "Order": t["orders"].select(at("Order", "o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("priority")),
     }
     l = t["lineitem"]
-    # (l_orderkey, l_linenumber) repeats: a line's number is its key (44 and 4 bits) and its place among equal keys (12)
-    again = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*[c for c in l.columns if c not in ("l_orderkey", "l_linenumber")]))
-    line = F.shiftleft(F.shiftleft(F.col("l_orderkey").cast("bigint"), 4) + F.col("l_linenumber"), 12) + again - 1
+    line = _row_number(l)
     edges = {
         "IN_REGION": t["nation"].select(_eid(1, F.col("n_nationkey")).alias("eid"), at("Nation", "n_nationkey").alias("src"), at("Region", "n_regionkey").alias("dst")),
         "IN_NATION": t["customer"].select(_eid(2, F.col("c_custkey")).alias("eid"), at("Customer", "c_custkey").alias("src"), at("Nation", "c_nationkey").alias("dst")).unionByName(t["supplier"].select(_eid(3, F.col("s_suppkey")).alias("eid"), at("Supplier", "s_suppkey").alias("src"), at("Nation", "s_nationkey").alias("dst"))),

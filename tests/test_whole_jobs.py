@@ -111,3 +111,18 @@ def test_pagerank_makes_the_ten_default_rounds(spark):
     want = dict(con.execute(graphs._pagerank_sql(10)).fetchall())
     got = dict(rows(graphs.QUERIES["pagerank_purchases"](spark, D), "id", "rank"))
     assert got == pytest.approx(want, abs=2e-9) and want != pytest.approx(dict(con.execute(graphs._pagerank_sql(5)).fetchall()), abs=2e-9)
+
+
+@needs_tables
+def test_line_items_of_several_files_keep_their_numbers(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    for t in ("region", "nation", "customer", "supplier", "part", "orders"):
+        spark.createDataFrame(pq.read_table(f"{D}/{t}.parquet").slice(0, 50).to_pandas()).write.parquet(str(tmp_path / f"{t}.parquet"))
+    lines = pq.read_table(f"{D}/lineitem.parquet").slice(0, 900).to_pandas()
+    spark.createDataFrame(lines).repartition(5).write.parquet(str(tmp_path / "lineitem.parquet"))
+    g = graphs.star_graph(spark, str(tmp_path))
+    all_ = g.edges.where("type = 'CONTAINS'").select("eid", "dst", "quantity")
+    assert all_.select("eid").distinct().count() == 900
+    some = g.edges.where("type = 'CONTAINS' and quantity > 20").select("eid", "dst", "quantity")
+    assert some.join(all_, ["eid", "dst", "quantity"]).count() == some.count() > 0
