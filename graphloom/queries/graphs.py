@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -29,7 +30,8 @@ def _row_number(rows: DataFrame) -> Column:
     files = sorted(rows.inputFiles())
     if len(files) == 1:
         return F.col("_metadata.row_index")
-    place = F.create_map(*[F.lit(x) for i, f in enumerate(files) for x in (f, i)])[F.col("_metadata.file_path")]
+    plain = r"^(\w+):/+"  # a path's scheme is written with one slash or three
+    place = F.create_map(*[F.lit(x) for i, f in enumerate(files) for x in (re.sub(plain, r"\1:/", f), i)])[F.regexp_replace("_metadata.file_path", plain, "$1:/")]
     return F.shiftleft(place.cast("bigint"), 40) + F.col("_metadata.row_index")
 
 
