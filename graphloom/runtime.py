@@ -100,10 +100,13 @@ def dropped(df: DataFrame) -> None:
 atexit.register(cleanup)
 
 
-def distinct_rows(df: DataFrame) -> DataFrame:
+def distinct_rows(df: DataFrame, *columns: str) -> DataFrame:
     """Rows without exact repeats (all columns equal, nulls equal to nulls). One hash aggregate with map-side
-    combine; the shuffle key is the whole row, so no key can be hot."""
-    return df.dropDuplicates()
+    combine; the shuffle key is the whole row, so no key can be hot. With `columns` only these are kept, and the row's
+    64-bit hash stands for the others on the way."""
+    if not columns:
+        return df.dropDuplicates()
+    return df.select(*columns, row_hash(df).alias("__hash")).dropDuplicates().drop("__hash")
 
 
 def row_hash(df: DataFrame) -> Column:
