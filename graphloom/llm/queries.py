@@ -18,8 +18,8 @@ def _shown(c: str) -> Column:
     return F.col(c).cast("float").cast("double")
 
 
-def _performance(spark: SparkSession, d: str) -> DataFrame:
-    return distinct_rows(table(spark, d, "graph_performance_data"))
+def _performance(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    return distinct_rows(table(spark, d, "graph_performance_data"), *GROUPS, "execution_time", *more)
 
 
 def p2_distribution(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +54,7 @@ def p2_within(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_daily_frequencies(spark: SparkSession, d: str) -> DataFrame:
     """The combinable form per day of loading."""
-    daily = _performance(spark, d).withColumn("day", F.to_date("loaded_at"))
+    daily = _performance(spark, d, "loaded_at").withColumn("day", F.to_date("loaded_at"))
     return quantiles.frequencies(daily, ["day", *GROUPS], "execution_time")
 
 
