@@ -25,7 +25,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -257,16 +256,18 @@ BLANK = "".join(f"\\x{{{ord(c):x}}}" for c in SPACES) + r"\n"
 
 def tokens(text: Column) -> Column:
     """Line ends, runs of space, single characters of scripts without spaces with the marks on them, and the runs
-    between them. Their concatenation is the text. The pattern's first branch takes the letters of most alphabets by
-    two ranges without backtracking; the long classes see only what is left. No group repeats, so no text is too long."""
+    between them. Their concatenation is the text. The first branches take the letters of most alphabets, the space
+    or line end behind them and plain wide characters by a few comparisons and without backtracking; the long classes
+    see only what is left. No group repeats, so no text is too long."""
     space = "".join(f"\\x{{{ord(c):x}}}" for c in SPACES)
     invisible = "".join(f"\\x{{{ord(c):x}}}" for c in IGNORABLE)
     # Kana and Han, half-width kana included.
     wide = r"\u3005-\u3007\u3041-\u30ff\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff\uff65-\uff9d\x{20000}-\x{3ffff}"
     mark = rf"\p{{M}}\uff9e\uff9f{invisible}"
-    plain = r"[!-~\u00a1-\u0fff]++"
+    plain = r"[!-~\u00a1-\u0fff]"
     other = rf"[^{space}\n{wide}]"
-    return F.regexp_extract_all(text, F.lit(rf"{plain}{other}*+|{other}++|[{space}]++|\n|[{wide}][{mark}]*+"), F.lit(0))
+    quick = rf"{plain}++(?:(?![ \n]){other}++)?| (?={plain})|\n|[{wide}](?![{mark}])"
+    return F.regexp_extract_all(text, F.lit(rf"{quick}|{other}++|[{space}]++|[{wide}][{mark}]*+"), F.lit(0))
 
 
 #: Distinct tokens of one shard, about.
