@@ -365,19 +365,22 @@ def shred(df: DataFrame, key: str, documents: Mapping[str, Iterable[str]], objec
     return _tables(df, key, documents, emit, f"`{key}` {key_type}, {NODE_TYPE}")
 
 
-def elements(df: DataFrame, key: str, documents: Mapping[str, Iterable[str]]) -> DataFrame:
+def elements(df: DataFrame, key: str, documents: Mapping[str, Iterable[str]], links: bool = False) -> DataFrame:
     """(key, side, arr_path, arr_pos) of every object that stands in a declared array, without repeats: the element
-    nodes of the adjacency table joined with the arrays that hold them."""
+    nodes of the adjacency table joined with the arrays that hold them. links adds parent_path and parent_pos, those of
+    the element that encloses it (null where that is the top object)."""
     key_type = df.schema[key].dataType.simpleString()
+    names = [key, "side", "arr_path", "arr_pos", *(["parent_path", "parent_pos"] if links else [])]
 
     def emit(doc: str, r: Resolved, keys: pa.Array) -> Iterator[pa.RecordBatch]:
         at = np.concatenate(r.levels) if r.levels else np.zeros(0, np.int64)
-        position = r.positions()
+        position, paths = r.positions(), pa.array(r.paths)
+        placed = lambda i: [paths.take(pa.array(r.place[i], mask=~r.element[i])), pa.array([position[k] for k in i.tolist()], pa.string())]
         of = np.array(r.a.rows, np.int32)[r.document[at]]
-        columns = [keys.take(pa.array(of)), pa.array([doc]).take(pa.array(np.zeros(len(at), np.int8))), pa.array(r.paths).take(pa.array(r.place[at])), pa.array([position[i] for i in at.tolist()], pa.string())]
-        yield pa.RecordBatch.from_arrays(columns, [key, "side", "arr_path", "arr_pos"])
+        columns = [keys.take(pa.array(of)), pa.array([doc]).take(pa.array(np.zeros(len(at), np.int8))), *placed(at)]
+        yield pa.RecordBatch.from_arrays([*columns, *(placed(r.owner[at]) if links else [])], names)
 
-    return _tables(df, key, documents, emit, f"`{key}` {key_type}, side string, arr_path string, arr_pos string").distinct()
+    return _tables(df, key, documents, emit, f"`{key}` {key_type}" + "".join(f", {n} string" for n in names[1:])).distinct()
 
 
 def entities(df: DataFrame, key: str, arrays: Iterable[str], doc: str, arr_path: str | None, fields: Iterable[str]) -> DataFrame:

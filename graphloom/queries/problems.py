@@ -38,6 +38,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return shred.elements(table(spark, d, "edge"), "edge_id", shred.EDGE_ARRAYS)
 
 
+def p3_links(spark: SparkSession, d: str) -> DataFrame:
+    """Every element with the element that encloses it."""
+    return shred.elements(table(spark, d, "edge"), "edge_id", shred.EDGE_ARRAYS, links=True)
+
+
 #: Flat tables of the endpoints and array elements: document, array path (None: the endpoint itself), scalar fields.
 _CONTACT, _AFFILIATION, _SITE, _ROLE = ("kind", "value", "since"), ("org.id", "org.name"), ("city", "floor"), ("title", "from", "to")
 ENTITIES: dict[str, tuple[str, str | None, tuple[str, ...]]] = {"p3_roles": ("source", "properties.affiliations.roles", _ROLE)}
@@ -198,7 +203,7 @@ def p6_composite(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, each)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p1_runs, p3_found, p3_edges, p4_found, p4_source_wide, p4_edge_wide, p5_found, p5_vertex_counts, p6_found, p6_report, p6_composite)} | {n: _entity_query(*e) for n, e in ENTITIES.items()}
+QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p1_runs, p3_found, p3_links, p3_edges, p4_found, p4_source_wide, p4_edge_wide, p5_found, p5_vertex_counts, p6_found, p6_report, p6_composite)} | {n: _entity_query(*e) for n, e in ENTITIES.items()}
 
 _P6 = """
 WITH perf AS (SELECT DISTINCT * FROM graph_place_sla_performance), g AS (SELECT DISTINCT * FROM graph),
@@ -274,6 +279,15 @@ _P3, _AT = _p3_sql()
 _P3_FOUND = " UNION ALL ".join(f"SELECT edge_id, '{doc}' AS side, '{path}' AS arr_path, array_to_string(pos, '.') AS arr_pos FROM {_AT[doc + ':' + path]}" for doc, paths in shred.EDGE_ARRAYS.items() for path in paths)
 
 
+def _link_sql(doc: str, path: str) -> str:
+    above = [p for p in shred.EDGE_ARRAYS[doc] if path.startswith(p + ".")]
+    parent = f"'{max(above, key=len)}'" if above else "NULL"
+    return f"SELECT edge_id, '{doc}' AS side, '{path}' AS arr_path, array_to_string(pos, '.') AS arr_pos, {parent} AS parent_path, nullif(array_to_string(pos[:-2], '.'), '') AS parent_pos FROM {_AT[doc + ':' + path]}"
+
+
+_P3_LINKS = " UNION ALL ".join(_link_sql(doc, path) for doc, paths in shred.EDGE_ARRAYS.items() for path in paths)
+
+
 def _scalar_sql(doc: str, label: str, name: str) -> str:
     v = f"""json_extract(x, '$."{label}"')"""
     return f"(SELECT any_value(CASE WHEN json_type({v}) NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN {v}->>'$' END) FROM {_AT[doc]} t WHERE t.edge_id = e.edge_id AND json_type(x) = 'OBJECT') AS {name}"
@@ -316,6 +330,7 @@ SELECT id, metric, value, CAST(count(*) OVER (PARTITION BY place_id, metric, cha
 SQL = {
     "p1_runs": _P1,
     "p3_found": f"{_P3} {_P3_FOUND}",
+    "p3_links": f"{_P3} {_P3_LINKS}",
     "p3_edges": f"{_P3} {_P3_EDGES}",
     "p4_found": _P4 + "SELECT entity_kind, entity_id, attr, val_text FROM c",
     "p4_source_wide": _p4_wide_sql("source"),
