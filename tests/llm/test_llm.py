@@ -269,6 +269,48 @@ def test_items_in_several_parts(spark, monkeypatch):
     assert leaked(spark, docs) == whole == {(i, i + 1) for i in range(6)}
 
 
+def test_changed_names_keep_their_windows(spark):
+    # each window of five words holds a change, so words alone give no seed; the template with its other slots does
+    q = ITEMS[3][1].replace("Muta", "Kora").replace("52", "61").replace("jamming", "drifting").replace("silicone", "rubber")
+    alike = q.replace("bearing", "winch").replace("primary", "sealed").replace("catheter", "nozzle").replace("shields", "holds")
+    docs = spark.createDataFrame([(1, FILL + q + FILL), (2, FILL + alike)], "doc_id bigint, text string")
+    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    found = lambda rules: {tuple(r) for r in leakage.find(docs, "doc_id", "text", items, "item_id", "text", rules).collect()}
+    assert found(leakage.Rules(per_edit=4)) == {(1, 4)} and found(leakage.Rules()) == set()
+
+
+WINDOW_WORDS = st.lists(st.sampled_from(["how", "far", "may", "ab", "cd", "7", "8", "mm", "kg"]), min_size=5, max_size=5)
+
+
+@given(WINDOW_WORDS, WINDOW_WORDS)
+@settings(max_examples=300, deadline=None)
+def test_windows_meet_if_all_slots_but_one_agree(a, b):
+    def keys(window):
+        codes = coder.codes(window)
+        return set(leakage.slot_keys(codes, *leakage.template_windows(codes, rules), rules)[1].tolist())
+
+    rules, coder = leakage.Rules(), leakage.Coder(frozenset(["how", "far", "may"]))
+    kind = lambda w: w if w in coder.lexicon else w.isdigit() or w in leakage.UNITS and "unit" or "name"
+    template = sum(w in coder.lexicon for w in a) >= rules.literals
+    differ = sum(v != w for v, w in zip(a, b))
+    assert bool(keys(a) & keys(b)) == (list(map(kind, a)) == list(map(kind, b)) and differ <= template)
+
+
+def test_slots_are_consistent_over_a_passage():
+    hits = lambda slips: [(0, p, p + 9, next((s for s in slips if p <= s < p + 5), -1)) for p in range(8)]
+    assert leakage.candidates(hits([]), leakage.Rules()) == leakage.candidates(hits([5]), leakage.Rules()) == {0: [9]}
+    apart = [(0, p, p + 9, p + 2) for p in (0, 4, 8)]
+    assert leakage.candidates(apart, leakage.Rules()) == {} and leakage.candidates(apart, leakage.Rules(per_edit=4)) == {0: [9]}
+
+
+@given(st.lists(st.sampled_from("abcdef"), min_size=1, max_size=12), st.lists(st.sampled_from("abcdef"), min_size=1, max_size=14), st.integers(-4, 6))
+@settings(max_examples=300, deadline=None)
+def test_no_alignment_is_passed_over(item, doc, shift):
+    rules = leakage.Rules(least=4, per_edit=4, band=2)
+    if leakage.holds_passage(leakage.aligned(item, doc, shift, rules.band), rules):
+        assert leakage.shares_passage(item, doc, [shift], rules)
+
+
 def test_template_words_are_a_share_of_the_items():
     items = [[f"name{i}", f"name{i + 1}", "which", "item"] for i in range(1000)] + [["rare"]] * 5
     assert leakage.lexicon_of(items, leakage.Rules()) == {"which", "item"}
