@@ -221,6 +221,27 @@ def test_incremental_triangles_equal_a_recount(spark, tmp_path, seed):
     assert counter.total() == len(brute_triangles(pairs))
 
 
+@pytest.mark.parametrize("part", [2_000_000, 40, 6])
+def test_triangle_delta_of_many_colours(spark, part):
+    pairs = sorted({(min(p), max(p)) for p in random_pairs(7, 30, 250) if p[0] != p[1]})
+    old, new = pairs[::2], pairs[1::2]
+    got = ingest.triangle_delta(*(spark.createDataFrame(x, ingest.PAIRS) for x in (old, new)), part)
+    assert got.first()[0] == len(brute_triangles(pairs)) - len(brute_triangles(old)) > 0
+
+
+def test_triangle_delta_shuffles_no_wedges(spark):
+    """100 hubs share 400 leaves: 4 million wedges of new pairs, of which 300 close."""
+    new = spark.range(400).crossJoin(spark.range(10_000, 10_100).withColumnRenamed("id", "b")).select(F.col("id").alias("a"), "b")
+    old = spark.createDataFrame([(0, 1), (2, 3), (4, 5)], ingest.PAIRS)
+    sc = spark.sparkContext
+    sc.setJobGroup("delta", "delta")
+    assert ingest.triangle_delta(old, new).first()[0] == 300
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup("delta") for s in sc.statusTracker().getJobInfo(j).stageIds}
+    store = sc._jsc.sc().statusStore()
+    assert 40_000 <= sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages) < 1_000_000
+
+
 def test_stream_of_messages(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
