@@ -257,6 +257,35 @@ def test_stream_of_messages(spark, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/edges").count() == 3
 
 
+def test_appended_files_are_in_order_and_hold_no_repeats(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    (tmp_path / "in").mkdir()
+    want = [(a, b) for a in range(60) for b in range(100, 120)]
+    for n in range(4):
+        part = want[n * 200 : n * 200 + 600]  # what a file says again was in the one before
+        random.Random(n).shuffle(part)
+        (tmp_path / "in" / f"{n}.txt").write_text("\n".join(json.dumps({"source": {"id": str(a)}, "destination": {"id": str(b)}}) for a, b in part))
+    for run in range(2):
+        lines = ingest.read_stream(spark, str(tmp_path / "in"), options={"maxFilesPerTrigger": "1"})
+        ingest.append_edges(ingest.stream_edges(lines), f"file://{tmp_path}/edges", f"file://{tmp_path}/check{run}", availableNow=True).awaitTermination()
+    files = [list(zip(t["src"].to_pylist(), t["dst"].to_pylist())) for f in (tmp_path / "edges").rglob("*.parquet") if (t := pq.ParquetFile(f).read()).num_rows]
+    assert sorted(x for f in files for x in f) == want and all(f == sorted(f) for f in files)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_stream_messages_come_in_parts(spark, monkeypatch):
+    from graphloom.queries import sources as queries
+
+    d = "/root/testdata/sf0.001"
+    monkeypatch.setattr(queries, "MESSAGES", 20)
+    lines = [[r["value"] for r in spark.read.text(files).where("value like '{%'").collect()] for files in queries._stream_files(spark, d, 20)]
+    assert len(lines) > 2 and max(map(len, lines)) <= 40
+    each = sorted((int(m["source"]["id"]), int(m["destination"]["id"])) for part in lines for m in map(json.loads, part))
+    got = sorted((r["src"], r["dst"]) for r in queries.stream_append(spark, d).collect())
+    assert got == sorted(set(each)) and queries.stream_triangles(spark, d).first()[0] == len(brute_triangles(each))
+
+
 def test_windowed_counts(spark):
     e = spark.createDataFrame([("2024-01-01 00:10:00", "a"), ("2024-01-01 00:50:00", "a"), ("2024-01-01 01:00:00", "a"), (None, "a")], "t string, k string").withColumn("t", F.col("t").cast("timestamp"))
     assert sorted(r["n"] for r in ingest.windowed_counts(e, "t", "k").collect()) == [1, 2]
